@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches stay small, as a row may hold a very long text.
-BATCH_ROWS = 1000
+BATCH_ROWS = 200
 
 
 def shared_dir(spark: SparkSession) -> str:
