@@ -2,9 +2,10 @@
 
 from .exact import OP7_SQL, op7
 from .language import op3
+from .licenses import op6
 from .mixing import OP5_SQL, op5
 from .toxicity import op2
 from .url_filter import OP1_SQL, op1
 
-QUERIES = {"op1_url_filter": op1, "op2_toxicity": op2, "op3_language_id": op3, "op5_source_mixing": op5, "op7_exact_dedup": op7}
+QUERIES = {"op1_url_filter": op1, "op2_toxicity": op2, "op3_language_id": op3, "op5_source_mixing": op5, "op6_license_scan": op6, "op7_exact_dedup": op7}
 ORACLES = {"op1_url_filter": OP1_SQL, "op5_source_mixing": OP5_SQL, "op7_exact_dedup": OP7_SQL}
