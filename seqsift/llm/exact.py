@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import Workspace
+from .storage import Workspace, broadcast_if_few
 
 # Runs of white space that are not one space already.
 _RUN = re.compile(r"[\t-\r][ \t-\r]*| [ \t-\r]+")
@@ -139,7 +139,8 @@ def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     keyed = docs.withColumns({"__id": as_key(id_col), "__sha": F.sha2(F.regexp_replace(text, "[\\t-\\r][ \\t-\\r]*| [ \\t-\\r]+", " "), 256)})
     marks = found.select(as_key("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept")
     if found.where("not kept and doc_id <=> keep_id").isEmpty():
-        out = keyed.join(marks.where("not kept").drop("kept"), ["__id", "__sha"], "left_anti")
+        gone = work.table(marks.where("not kept").drop("kept"))
+        out = keyed.join(broadcast_if_few(gone), ["__id", "__sha"], "left_anti")
     else:  # an id comes twice with one text, so ids alone don't tell which row stays
         out = keyed.join(marks.where("kept").drop("kept"), ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"])
     return out.select(*docs.columns)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import Workspace
+
 SEED = "mix-1"
 ALPHA = 0.5
 
@@ -26,8 +28,9 @@ def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, *, id_
 
     A null source is a source of its own, named "" in ``targets``, and is not the source "". Rows with a null id or
     repeated ids draw alike for one id. An empty table, or weights that are all 0, give an empty result.
-    Counts per source are summed before they are shuffled, and Spark broadcasts them only if AQE finds them small; a
-    hot source is then a skewed join, which AQE splits.
+    Counts per source are summed before they are shuffled; the rates are written to the shared folder, and Spark
+    broadcasts them only if that table is small, so texts are shuffled once. Otherwise a hot source is a skewed join,
+    which AQE splits.
     """
     docs = docs.drop("copy_no", "shuffle_key")
     source, key = F.col(source_col).cast("string"), F.concat(F.lit("s"), F.col(source_col).cast("string"))
@@ -50,6 +53,7 @@ def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, *, id_
     cdf = F.aggregate(F.transform(terms, F.exp), F.array().cast("array<double>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.element_at(F.concat(F.array(F.lit(0.0)), a), -1), F.lit(0.0)) + p)))
     # One row of sums: a broadcast of fixed size.
     rates = weighed.crossJoin(F.broadcast(sums)).withColumn("__rate", rate).where("__rate > 0").select("__mix", cdf.alias("__cdf"))
+    rates = Workspace(docs.sparkSession, "mix").table(rates)  # written, so that Spark knows its size before it plans the join
     drawn = keyed.join(rates, "__mix").withColumn("__u", _uniform(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     k = F.size(F.filter("__cdf", lambda c: c < F.col("__u")))
     copies = drawn.withColumn("__k", k).where("__k > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__k"))))

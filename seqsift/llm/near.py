@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import Workspace
+from .storage import Workspace, broadcast_if_few
 from .words import mix, sequence_hashes, text_slices, word_hashes
 
 TOKENS = 128
@@ -240,7 +240,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options)
     """The rows of ``docs`` but those whose component has a smaller id, with all their columns."""
     found = near_duplicates(docs, id_col=id_col, **options)
     gone = Workspace(docs.sparkSession, "near-gone").table(found.where("not kept").select(F.col("doc_id").alias("__gone")))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(broadcast_if_few(gone), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Arrow batches stay small, as a row may hold a very long text.
 BATCH_ROWS = 200
@@ -46,3 +47,8 @@ class Workspace:
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t.seqsift_path)
             path.getFileSystem(conf).delete(path, True)
+
+
+def broadcast_if_few(table: DataFrame, rows: int = 400_000) -> DataFrame:
+    """Marks a written table of short rows for broadcast if it has at most ``rows``; else Spark is free to shuffle."""
+    return F.broadcast(table) if table.count() <= rows else table

@@ -191,6 +191,19 @@ def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
     return slim.mapInArrow(lambda b: held.value.score(b), T.StructType([*slim.drop("__text").schema.fields, T.StructField("score", T.DoubleType())]))
 
 
+def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns and in place: nothing is shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(text_col))], names=["__text"])
+            score = next(held.value.score(iter([text]))).column("score").to_numpy()
+            yield batch.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
