@@ -1,0 +1 @@
+"""Operators on DataFrames of vectors, shingles and points."""

@@ -1,0 +1 @@
+"""How a query becomes a plan, and how tables become tracks."""

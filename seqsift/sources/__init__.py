@@ -1,0 +1 @@
+"""Collections on disk, and the files that tracks come from."""

@@ -1,0 +1 @@
+"""Standing queries over tracks that arrive over time."""
