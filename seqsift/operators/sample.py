@@ -17,7 +17,6 @@ def _draw(sh: DataFrame, n: int, seed: int, what: str) -> DataFrame:
     if not total:
         raise SeqSiftError(f"{what} has no sequence to draw from")
     # Each shingle is drawn a Poisson number of times of mean 2n / total, so enough come; a random order then picks n.
-    # exp(-u) steps: the number of unit-rate arrivals within the rate.
     rate = 2.0 * n / total + 12.0 * (2.0 * n) ** 0.5 / total + 20.0 / total
     most = max(4, int(rate + 12 * rate**0.5 + 12))
     u = F.rand(seed)
@@ -26,7 +25,8 @@ def _draw(sh: DataFrame, n: int, seed: int, what: str) -> DataFrame:
         cdf += term
         probabilities.append(cdf)
         term *= rate / (k + 1)
-    k = sum(((F.col("__u") > p).cast("int") for p in probabilities), F.lit(0)) if rate < 600 else F.lit(int(rate))
+    # Beyond 600 a Poisson number hardly differs from its mean.
+    k = F.size(F.filter(F.lit(probabilities), lambda p: p < F.col("__u"))) if rate < 600 else F.lit(int(rate))
     rows = sh.withColumn("__u", u).withColumn("__k", k).where("__k > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__k"))))
     return rows.withColumn("__order", F.rand(seed + 1)).orderBy("__order").limit(n).drop("__u", "__k", "__copy")
 
