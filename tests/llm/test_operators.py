@@ -1,0 +1,493 @@
+"""Each operator on small tables with nulls, empty and long texts, ties, repeated rows, no rows, and clashing columns."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from seqsift.llm import decontam, exact, language, licenses, mixing, near, passages, pii, toxicity, url_filter, words
+
+UPPER = {c: c + 32 for c in range(65, 91)}
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+VOCABULARY = ["".join(p) for p in np.random.default_rng(0).choice(list("abcdefghijklmnopqrstuvwxyzé"), (3000, 6))]
+
+
+def docs(spark, rows, more="component string, __text int, key int"):
+    """(doc_id, text[, lang, source]) with more columns whose names clash with ones used inside."""
+    full = [(i, t, *(r or ("en", "s"))[:2], None if t is None else len(t), "x", 1, 2) for i, t, *r in rows]
+    return spark.createDataFrame(full, f"{DOC}, {more}").repartition(3)
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(VOCABULARY) for _ in range(n))
+
+
+def table(found, key="doc_id"):
+    return {r[key]: r for r in found.collect()}
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Near and exact copies, shared passages, odd texts."""
+    rng = random.Random(4)
+    base = [prose(rng, rng.randint(40, 160)) for _ in range(25)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    for i in range(30):
+        w = base[i % 4].split()
+        for _ in range(rng.randint(1, 6)):
+            w[rng.randrange(len(w))] = rng.choice(VOCABULARY)
+        rows.append((100 + i, " ".join(w)))
+    shared = prose(rng, 70)
+    rows += [(200 + i, f"{prose(rng, 30)} {shared} {prose(rng, 20)}") for i in range(6)]
+    rows += [(300, base[0].replace(" ", "  \n")), (301, base[0].upper()), (302, None), (303, ""), (304, " \t "), (305, "one"), (306, "One"), (307, "\x00 é𝒳"), (308, prose(rng, 4000)), (5, base[5]), (5, base[5]), (None, base[6]), (None, None)]
+    return rows
+
+
+# --- words
+
+
+def test_words_are_the_same_as_with_regular_expressions():
+    import pyarrow as pa
+
+    texts = ["", "Ab  c\tAb", None, "é É x", "a", " ", "x" * 5000, "b\x00c d-e 9"]
+    for ends, pattern in ((words.SPACES, r"[^\x20\x09-\x0D]+"), (words.PUNCTUATION, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")):
+        seen = {}
+        for i, j, data, offsets in words.text_slices(pa.array(texts), 10):
+            h, of = words.word_hashes(data, offsets, ends)
+            for d in range(j - i):
+                want = re.findall(pattern, (texts[i + d] or "").translate(UPPER))
+                got = h[of[d] : of[d + 1]].tolist()
+                assert len(got) == len(want)
+                for w, x in zip(want, got, strict=True):
+                    assert seen.setdefault(w, x) == x
+        assert len(set(seen.values())) == len(seen)
+
+
+# --- 1: url filter
+
+
+def test_urls(spark):
+    urls = [(1, "http://A.Example.NET/en/x?q"), (2, "https://example.com/de/"), (3, "x://net"), (4, "x://net/"), (5, None), (6, "net/"), (7, "a://b.org/fr/#z"), (8, "a://borg/fr/"), (9, "a://x.net?/en/"), (9, "a://x.net/a"), (10, ""), (11, "http://example.net/" + "y" * 20000)]
+    pages = spark.createDataFrame([(i, u, "h", "r") for i, u in urls], "page_id long, url string, host string, rule string")
+    got = Counter((r.page_id, r.host, r.path[:9], r.rule, r.verdict) for r in url_filter.filter_urls(pages).collect())
+    assert got == Counter([
+        (1, "a.example.net", "/en/x", "example.net/en/", "allow"), (2, "example.com", "/de/", "example.com/de/", "block"), (3, "net", "", None, "allow"), (4, "net", "/", "net/", "block"), (5, "", "", None, "allow"), (6, "", "", None, "allow"),
+        (7, "b.org", "/fr/", "org/fr/", "allow"), (8, "borg", "/fr/", None, "allow"), (9, "x.net", "", None, "allow"), (9, "x.net", "/a", "net/", "block"), (10, "", "", None, "allow"), (11, "example.net", "/yyyyyyyy", "net/", "block"),
+    ])
+    assert url_filter.filter_urls(pages.limit(0)).count() == 0
+    parts = url_filter.filter_urls(pages, segment_rules=1)
+    assert Counter((r.page_id, r.rule, r.verdict) for r in parts.collect()) == Counter((i, rule, v) for (i, _, _, rule, v), n in got.items() for _ in range(n))
+    assert {r.verdict for r in url_filter.filter_urls(pages, (), default="block").collect()} == {"block"}
+    with pytest.raises(ValueError):
+        url_filter.filter_urls(pages, [("maybe", "net", "/")])
+
+
+def test_colliding_keys_are_told_apart(monkeypatch):
+    monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda s: 7)
+    probe = url_filter.Probe(url_filter.Segment.build([("block", "a", "/"), ("allow", "b", "/"), ("block", "c", "/")]))
+    found = probe.find([b"b/", b"x/", b"a/"])
+    assert found[1] == -1 and [probe.blocks[i] for i in (found[0], found[2])] == [0, 1]
+
+
+# --- 2: toxicity
+
+
+def test_toxicity_learns_words_and_ignores_groups(spark):
+    rng = random.Random(1)
+    groups = ["muslims", "women", "gay", "jews"]
+    rows = []
+    for _ in range(600):
+        bad = rng.random() < 0.4
+        # Most mentions of one group are in toxic texts: a bias that training must not take over.
+        group = "muslims" if rng.random() < (0.7 if bad else 0.05) else rng.choice(["people", "women", "men"])
+        rows.append((f"{prose(rng, 15)} {group} {prose(rng, 10)} {rng.choice(['vermin', 'filthy', 'scumbag']) if bad else ''}", int(bad)))
+    training = spark.createDataFrame(rows, "text string, toxic int")
+    plain, fair = toxicity.fit_toxicity(training, penalty=0.0), toxicity.fit_toxicity(training, penalty=5.0)
+    tests = docs(spark, [(i, f"{prose(rng, 12)} {g} {prose(rng, 8)}") for i, g in enumerate(["people", *groups])] + [(50, prose(rng, 9) + " Vermin"), (51, None), (52, ""), (53, prose(rng, 5000)), (53, "x")])
+    scored = lambda m: {r.doc_id: r.score for r in toxicity.score_toxicity(tests.where("doc_id != 53"), m).collect()}
+    a, b = scored(plain), scored(fair)
+    assert b[1] - b[0] < 0.5 * (a[1] - a[0]) and b[1] < 0.3
+    assert b[50] > 0.7 and b[51] == b[52] < 0.5
+    assert toxicity.score_toxicity(tests, fair).count() == 10
+    kept = toxicity.drop_toxic(tests, fair)
+    assert kept.columns == tests.columns and 50 not in {r.doc_id for r in kept.collect()} and kept.count() >= 8
+    assert toxicity.score_toxicity(tests.limit(0), fair).count() == 0
+    assert toxicity.fit_toxicity(training.limit(0)).bias < 0
+
+
+def test_toxicity_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.01"
+    found = toxicity.op2(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
+    y, s = np.array([r.toxic for r in found]), np.array([r.score for r in found])
+    assert np.mean([a > b for a in s[y == 1] for b in s[y == 0]]) > 0.85
+
+
+# --- 3: language
+
+
+def test_languages(spark):
+    d = "/root/testdata/sf0.01"
+    got = language.op3(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    out = [r for r in got if r.held_out]
+    assert len(got) == 1000 and sum(r.lang == r.lang_pred for r in out) >= 0.98 * len(out)
+    assert all(0 <= r.score <= 1 for r in got)
+    train = spark.createDataFrame([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("x", None)], "text string, lang string")
+    odd = docs(spark, [(1, None), (2, ""), (3, "12 %% ²"), (4, "the dog"), (5, "und der"), (5, "und der"), (6, "the " * 1_000_000), (None, "日本")])
+    found = language.identify_language(odd, train).collect()
+    assert Counter((r.doc_id, r.lang_pred) for r in found if r.doc_id) == Counter([(1, "und"), (2, "und"), (3, "und"), (4, "en"), (5, "de"), (5, "de"), (6, "en")])
+    assert [r.lang_pred in ("de", "en") for r in found if r.doc_id is None] == [True]
+    assert language.identify_language(odd.limit(0), train).count() == 0
+    assert {(r.lang_pred, r.score) for r in language.identify_language(odd, train.limit(0)).collect()} == {("und", 0.0)}
+
+
+def test_codewords_differ():
+    for n in (2, 3, 4, 6, 9, 30):
+        code = language.codewords(n)
+        assert min((code[i] != code[j]).sum() for i in range(n) for j in range(i)) >= (1 if n == 2 else 2 if n == 3 else 4)
+
+
+# --- 4: passages
+
+
+def runs(a, b, n):
+    """Whether two texts share n words in a row."""
+    first = {tuple(a[i : i + n]) for i in range(len(a) - n + 1)}
+    return any(tuple(b[i : i + n]) in first for i in range(len(b) - n + 1))
+
+
+def test_shared_passages(spark, corpus):
+    found = passages.shared_passages(docs(spark, corpus)).collect()
+    split = {i: (t or "").translate(UPPER).split() for i, t in corpus if i is not None}
+    got = {r.doc_id for r in found} | {r.other_id for r in found}
+    want = {i for i in split if any(j != i and runs(split[i], split[j], 50) for j in split)}
+    assert want <= got and set(range(200, 206)) <= got and not got & {302, 303, 304, 305, 306, 307, 308}
+    for r in found:  # what is reported is alike
+        a, b = split[r.doc_id][r.first_word : r.last_word + 1], split[r.other_id][r.other_first : r.other_last + 1]
+        assert min(len(a), len(b)) >= 50 and 100 * r.same_words >= 80 * max(len(a), len(b))
+        assert r.same_words <= passages._common([hash(x) for x in a], [hash(x) for x in b])
+    assert passages.shared_passages(docs(spark, corpus).limit(0)).count() == 0
+
+
+def test_fuzzy_passage_and_hot_seeds(spark, monkeypatch):
+    rng = random.Random(9)
+    shared = prose(rng, 80).split()
+    rows = []
+    for i in range(40):
+        w = list(shared)
+        for k in rng.sample(range(80), 5):
+            w[k] = rng.choice(VOCABULARY)
+        del w[40 + i % 20]
+        rows.append((i, f"{prose(rng, 20)} {' '.join(w)} {prose(rng, 20)}"))
+    monkeypatch.setattr(passages, "SAMPLE", 30)  # so that the passage's seeds count as hot and are salted
+    monkeypatch.setattr(passages, "HOT_SHARE", 0.2)
+    found = passages.shared_passages(docs(spark, rows)).collect()
+    assert {r.doc_id for r in found} | {r.other_id for r in found} == set(range(40)) and len(found) < 40 * 10
+
+
+def test_chains_by_brute_force():
+    rng = random.Random(2)
+    for _ in range(60):
+        frags = sorted({(rng.randrange(60), rng.randrange(60), rng.randint(3, 9)) for _ in range(7)})
+        best = 0.0
+        for mask in range(1, 1 << len(frags)):
+            own = [f for i, f in enumerate(frags) if mask >> i & 1]
+            gaps = [(b[0] - a[0] - a[2], b[1] - a[1] - a[2]) for a, b in zip(own, own[1:], strict=False)]
+            if all(min(g) >= 0 and max(g) <= passages.MAX_GAP for g in gaps):
+                best = max(best, sum(f[2] for f in own) - passages.GAP_COST * sum(map(sum, gaps)))
+        score = lambda c: sum(f[2] for f in c) - passages.GAP_COST * sum(b[0] - a[0] - a[2] + b[1] - a[1] - a[2] for a, b in zip(c, c[1:], strict=False))
+        assert max(map(score, passages.chains(frags))) == pytest.approx(best)
+
+
+# --- 5: mixing
+
+
+def test_mixing(spark):
+    rng = random.Random(3)
+    rows = [(i, "t", "en", rng.choice(["a"] * 6 + ["b", "b", None, ""])) for i in range(4000)]
+    d = docs(spark, rows)
+    found = mixing.mix_sources(d, {"a": 1, "b": 3}, total=4000)
+    n = Counter(r.source for r in found.collect())
+    assert set(n) == {"a", "b"} and abs(n["a"] - 1000) < 130 and abs(n["b"] - 3000) < 220
+    assert found.columns == [*d.columns, "copy_no", "shuffle_key"]
+    keys = [r.shuffle_key for r in found.collect()]
+    assert keys == sorted(keys) and found.collect() == mixing.mix_sources(d.repartition(7), {"a": 1, "b": 3}, total=4000).select(found.columns).collect()
+    again = mixing.mix_sources(found.limit(0))
+    assert again.count() == 0 and again.columns == found.columns
+    assert mixing.mix_sources(d, {"a": 0}).count() == 0
+    big = mixing.mix_sources(d.where("doc_id < 5").withColumn("source", F.lit("one")), total=5 * 900.0).count()
+    assert abs(big - 4500) < 400  # a rate whose exp(-rate) is too small for a double
+    odd = mixing.mix_sources(docs(spark, [(None, None, None, None), (1, "x", "en", "s"), (1, "x", "en", "s")]))
+    assert len({c for c in Counter((r.doc_id, r.copy_no) for r in odd.where("doc_id = 1").collect()).values()} - {2}) == 0
+
+
+# --- 6: licenses
+
+
+def brute_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(UPPER))
+
+
+def test_licenses(spark):
+    rng = random.Random(6)
+    bits = ["CC", "by", "cc", "BY", "general", "Public", "license", "all", "rights", "reserved", "é", "x", "K", "_", "-", "\n", "©"]
+    rows = [(i, rng.choice([" ", "-", "\x00"]).join(rng.choice(bits) for _ in range(rng.randint(0, 60)))) for i in range(300)]
+    rows += [(900, None), (901, ""), (902, "Licensed under the Apache License, Version 2.0."), (903, "SPDX-License-Identifier: MIT"), (904, "GNU General Public License, version 3"), (905, "CC BY-NC 4.0"), (906, "cc by " * 3000), (None, "cc by"), (907, "x" * 100_000)]
+    found = licenses.scan_licenses(docs(spark, rows)).collect()
+    assert len(found) == len(rows)
+    got = {r.doc_id: r for r in found}
+    for i, t in rows:
+        w, r, places, labels = brute_words(t), got[i], [], set()
+        for phrase, label in licenses.BASE:
+            p = phrase.split()
+            own = [k for k in range(len(w)) if w[k : k + len(p)] == p]
+            places += own
+            labels |= {label} if own else set()
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
+        assert labels <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    assert (got[902].labels, got[903].labels, got[904].labels, got[905].labels) == ("apache-2.0", "mit", "gpl,gpl-3.0", "cc-by,cc-by-nc")
+    assert len(licenses.rules()) > 200 and licenses.scan_licenses(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_every_rule_is_behind_the_gate():
+    for label, _, keyword, pattern in licenses.rules():
+        example = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", r"\1", pattern)
+        for _ in range(4):
+            example = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", r"\1", example)
+        example = re.sub(r"\[([^\]-])[^\]]*\]\??", r"\1", example).replace(".{1,80}", "us").replace("{2}", "").replace("?", "")
+        assert any(g in example for g in licenses._GATES) and keyword in example, (label, example)
+
+
+# --- 7: exact copies
+
+
+def brute_exact(rows):
+    groups = {}
+    for n, (i, t) in enumerate(rows):
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), []).append((i is None, i or 0, n))
+    return groups
+
+
+def test_exact_duplicates(spark, corpus):
+    found = exact.exact_duplicates(docs(spark, corpus), bits=6, capacity=2000).collect()
+    groups = brute_exact(corpus)
+    want = Counter((None if x[0] else x[1], None if min(g)[0] else min(g)[1], len(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for x in g)
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in found) == want
+    kept = [r for r in found if r.kept]
+    assert len(kept) == len(groups) and all(r.doc_id == r.keep_id for r in kept)
+    out = exact.drop_exact_duplicates(docs(spark, corpus))
+    assert out.columns == docs(spark, corpus).columns and out.count() == len(groups)
+    assert exact.exact_duplicates(docs(spark, corpus).limit(0)).count() == 0
+    assert exact.drop_exact_duplicates(docs(spark, corpus).limit(0)).count() == 0
+
+
+def test_directory_splits_and_doubles():
+    d = exact.Directory({p: 10 for p in range(16)} | {3: 500}, 4, 40)
+    assert d.depth == 4 and len(d.slots) == 16
+    load = Counter()
+    for p in range(16):
+        load[d.bucket(p)] += 500 if p == 3 else 10
+    assert sorted(load.values())[-1] == 500 and all(v <= 40 for v in sorted(load.values())[:-1])
+    assert len(exact.Directory({}, 4, 40)) == 1
+
+
+def test_colliding_keys_are_chained():
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pylist([{"key": 1, "sha": s, "body": b, "n": 1, "low_id": i, "low_row": i} for i, (s, b) in enumerate([(b"x", b"1"), (b"y", b"2"), (b"x", b"1")])])
+    out = [r for b in exact._owner(iter([rows])) for r in b.to_pylist()]
+    assert [(r["sha"], r["group_size"], r["keep_id"], r["chain"]) for r in out] == [(b"x", 2, 0, 0), (b"y", 1, 1, 1)]
+    bad = pa.RecordBatch.from_pylist([{"key": 1, "sha": b"x", "body": b, "n": 1, "low_id": 0, "low_row": 0} for b in (b"1", b"2")])
+    with pytest.raises(ValueError):
+        list(exact._owner(iter([bad])))
+
+
+# --- 8: near copies
+
+
+def brute_near(rows, k, percent=80):
+    sets, out = {}, {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(UPPER))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+    parent = {i: i for i in sets}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                parent[y] = x
+    for i in sets:
+        out[i] = (len(sets[i]), top(i))
+    return out
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates(spark, corpus, k):
+    rows = [r for r in corpus if r[0] is not None]
+    found = near.near_duplicates(docs(spark, corpus), shingle_words=k).collect()
+    want = brute_near(rows, k)
+    assert len(found) == len(corpus)
+    for r in found:
+        if r.doc_id is not None:
+            assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
+        else:
+            assert r.component_id is None and r.kept
+    kept = near.drop_near_duplicates(docs(spark, corpus), shingle_words=k)
+    assert kept.columns == docs(spark, corpus).columns and kept.count() == sum(r.kept for r in found)
+    assert near.near_duplicates(docs(spark, corpus).limit(0)).count() == 0
+
+
+def test_large_groups_go_through_leaders(spark, monkeypatch):
+    """Groups beyond the sizes that are compared exhaustively, at similarities on both sides of the threshold."""
+    monkeypatch.setattr(near, "SMALL", 4)
+    monkeypatch.setattr(near, "MIXED", 8)
+    rng = random.Random(8)
+    rows = []
+    for g in range(2):
+        base = prose(rng, 120).split()
+        for i in range(60):
+            w = list(base)
+            for p in rng.sample(range(120), rng.randint(0, 9)):
+                w[p] = rng.choice(VOCABULARY)
+            rows.append((g * 1000 + i, " ".join(w)))
+    want = brute_near(rows, 2)
+    found = {r.doc_id: r.component_id for r in near.near_duplicates(docs(spark, rows), shingle_words=2).collect()}
+    assert found == {i: c for i, (_, c) in want.items()}
+
+
+def test_recall_of_the_trees():
+    """Of pairs at 80 %, the share that meets in a node of some tree."""
+    rng = np.random.default_rng(2)
+    met = 0
+    for _ in range(300):
+        x = rng.integers(1, 1 << 63, 450, dtype=np.uint64)
+        a, b = x[:400], x[50:]  # 350 of 450 in common: 77.8 %
+        ids = np.stack([near.minwise(a), near.minwise(b)])
+        keys = np.concatenate([near._descend(near.mix(np.full(2, t + 1, np.uint64)), ids, near.BRANCHES, 0) for t in range(near.TREES)], 1)
+        met += bool(set(keys[0]) & set(keys[1]))
+    assert met >= 297
+
+
+# --- 9: personal data
+
+
+def brute_pii(text):
+    def luhn(x):
+        return sum(v if i % 2 == 0 else v * 2 - 9 * (v > 4) for i, v in enumerate(map(int, reversed(x)))) % 10 == 0
+
+    out = {k: [] for k in pii.KINDS}
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out["email"].append(m.span())
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out["ip"].append(m.span())
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        x = re.sub("[ -]", "", m[0])
+        if 16 <= len(x) <= 19 and luhn(x):
+            out["card"].append(m.span())
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out["phone"].append(m.span())
+    return [f"{k}:{a}:{b}" for k in pii.KINDS for a, b in out[k]]
+
+
+def test_pii(spark, tmp_path):
+    rng = random.Random(1)
+    bits = ["1", "2", "55", "255", "256", ".", "@", "+", "-", " ", "(", ")", "a", "é", "𝒳", "4111111111111111", "a@b.c", "_", "%", ":", "x.y"]
+    texts = ["", None, "9" * 30000, "a" * 30000 + "@", "+1 " * 5000, "card 4111 1111 1111 1111, tel +1 (386) 555-3733"] + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 60))) for _ in range(600)]
+    d = docs(spark, [*enumerate(texts), (None, "a@b.c"), (3, "a@b.c")])
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    found = pii.op9(spark, str(tmp_path)).collect()
+    assert len(found) == len(texts) + 2
+    by_sha = {}
+    for r in found:
+        by_sha.setdefault(r.doc_id, []).append(r)
+    for i, t in enumerate(texts):
+        base = brute_pii(t or "")
+        r = next(x for x in by_sha[i] if x.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest())
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(b.startswith(k) for b in base) for k in pii.KINDS]
+        assert set(base) <= set(r.spans.split(",") if r.spans else [])
+    assert pii.find_pii(d.limit(0)).count() == 0
+
+
+def test_pii_learned_spans_and_redaction(spark):
+    d = docs(spark, [(1, 'é token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end'), (2, "commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff"), (3, "ssn 123-45-6789, mail a@b.cd"), (4, "version 12-345-6789"), (5, None)])
+    got = {r.doc_id: [s.kind for s in r.all] for r in pii.find_pii(d).collect()}
+    assert got == {1: ["secret"], 2: [], 3: ["email", "id"], 4: [], 5: []}
+    clean = {r.doc_id: r.text for r in pii.redact_pii(d).collect()}
+    assert clean[1] == 'é token = "[SECRET]" end' and clean[3] == "ssn [ID], mail [EMAIL]" and clean[5] is None and clean[2].startswith("commit 24be")
+
+
+def test_boosting_fits_a_rule():
+    rng = np.random.default_rng(0)
+    x = np.concatenate([np.zeros((600, 1)), rng.integers(0, 10, (600, len(pii.FEATURES) - 1))], 1)
+    y = ((x[:, 1] > 4) ^ (x[:, 2] > 6)).astype(float)
+    model = pii.Boosted.fit(x, y)
+    out = sum(model.rate * pii._value(t, x) for t in model.trees)
+    assert ((out > 0) == (y > 0)).mean() > 0.97
+
+
+# --- 10: decontamination
+
+
+def test_contamination(spark):
+    rng = random.Random(5)
+    items = [(i, prose(rng, rng.randint(15, 60))) for i in range(20)] + [(90, None), (91, ""), (92, "short item here")]
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id int, text string, doc_id string")
+
+    def changed(text, share):
+        w = text.split()
+        for p in rng.sample(range(len(w)), int(share * len(w))):
+            w[p] = rng.choice(VOCABULARY)
+        return " ".join(w)
+
+    rows, want = [], set()
+    for i in range(20):
+        rows.append((i, f"{prose(rng, rng.randint(0, 200))} {items[i][1].upper()}. {prose(rng, 50)}"))
+        rows.append((100 + i, f"{prose(rng, 90)} {changed(items[i][1], 0.1)} {prose(rng, 40)}"))
+        want |= {(i, i), (100 + i, i)}
+        rows.append((200 + i, prose(rng, 150)))
+        w = items[i][1].split()
+        rows.append((300 + i, f"{prose(rng, 60)} {' '.join(w[: len(w) // 3])} {prose(rng, 60)}"))  # too little of it
+    rows += [(400, f"a Short ITEM, here {prose(rng, 20)}"), (401, None), (402, ""), (403, "short here item"), (0, rows[0][1])]
+    want.add((400, 92))
+    d = docs(spark, rows)
+    found = decontam.find_contamination(d, bench)
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert not got - want and len(got) >= len(want) - 1 and {w for w in want if w[0] < 20} <= got
+    kept = decontam.drop_contaminated(d, bench)
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - {i for i, _ in got}
+    assert decontam.find_contamination(d.limit(0), bench).count() == 0
+    assert decontam.find_contamination(d, bench.limit(0)).count() == 0
+
+
+def test_answers_must_be_there(spark):
+    rng = random.Random(7)
+    text = prose(rng, 40)
+    bench = spark.createDataFrame([(1, text, "zebra"), (2, text + " x", text.split()[0])], "item_id int, text string, answer string")
+    d = docs(spark, [(1, f"{prose(rng, 50)} {text} {prose(rng, 50)}")] + [(i, prose(rng, 100)) for i in range(2, 40)])
+    assert {r.item_id for r in decontam.find_contamination(d, bench, answer_col="answer").collect()} == {2}
+
+
+def test_common_length_by_dynamic_programming():
+    rng = random.Random(1)
+    for _ in range(100):
+        a, b = ([rng.randrange(5) for _ in range(rng.randint(1, 20))] for _ in "ab")
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        index = {}
+        for i, x in enumerate(a):
+            index[x] = index.get(x, 0) | 1 << i
+        assert decontam.common_length(index, len(a), b) == best[-1][-1] == passages._common(a, b)
