@@ -1,10 +1 @@
-"""Operators for preparing training text: ten filters, scanners, deduplicators and mixers.
-
-Functions that run on executors are pickled by value, so workers need not have this package installed.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators for preparing training text: ten filters, scanners, deduplicators and mixers."""

@@ -116,8 +116,11 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     doubling over at most 2**bits prefixes splits the keys into buckets of at most ``capacity`` bytes; owner tasks
     walk their key ranges in order, compare bytes and chain different texts with equal keys.
     """
+    return _find(docs, Workspace(docs.sparkSession, "exact"), id_col, text_col, capacity, bits)
+
+
+def _find(docs: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text", capacity: int = 32 << 20, bits: int = 14) -> DataFrame:
     spark = docs.sparkSession
-    work = Workspace(spark, "exact")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.col(text_col).cast("string").alias("text"))
     pages = work.table(slim.mapInArrow(_pages, "doc_id long, row_no long, sha binary, key long, size long, n long, low_id long, low_row long, body binary"))
     prefix = F.shiftrightunsigned("key", 64 - bits)
@@ -132,8 +135,9 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay in :func:`exact_duplicates`, with all their columns; of repeated rows, one."""
-    work = Workspace(docs.sparkSession, "exact-kept")
-    found = work.table(exact_duplicates(docs, id_col=id_col, text_col=text_col, **options).select("doc_id", "keep_id", "kept", "text_sha256"))
+    pages, work = Workspace(docs.sparkSession, "exact"), Workspace(docs.sparkSession, "exact-kept")
+    found = work.table(_find(docs, pages, id_col, text_col, **options).select("doc_id", "keep_id", "kept", "text_sha256"))
+    pages.clear()
     as_key = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit("none"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.withColumns({"__id": as_key(id_col), "__sha": F.sha2(F.regexp_replace(text, "[\\t-\\r][ \\t-\\r]*| [ \\t-\\r]+", " "), 256)})

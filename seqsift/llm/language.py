@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import shared_dir
+from .storage import share, shared, shared_dir
 from .words import text_slices
 
 BITS = 14
@@ -158,10 +158,10 @@ def identify_language(docs: DataFrame, training: DataFrame, *, id_col: str = "do
         counts[r.lang] = np.zeros(1 << BITS)
         for gram, n in r.grams:
             counts[r.lang][gram] = n
-    held = spark.sparkContext.broadcast(Model.fit(counts))
+    held = share(spark, Model.fit(counts))
     slim = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     schema = T.StructType([*slim.drop("__text").schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
-    return slim.mapInArrow(lambda batches: _score(held.value, batches, lead), schema)
+    return slim.mapInArrow(lambda batches: _score(shared(held), batches, lead), schema)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

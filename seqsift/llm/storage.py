@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,21 @@ class Workspace:
             path = jvm.org.apache.hadoop.fs.Path(t.seqsift_path)
             path.getFileSystem(conf).delete(path, True)
 
+    def clear(self) -> None:
+        """Deletes all tables, once what was made of them is written elsewhere."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def broadcast_if_few(table: DataFrame, rows: int = 400_000) -> DataFrame:
     """Marks a written table of short rows for broadcast if it has at most ``rows``; else Spark is free to shuffle."""
     return F.broadcast(table) if table.count() <= rows else table
+
+
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcasts an object along with its class, so that workers need not be able to import it; see :func:`shared`."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(held: Broadcast):
+    return cloudpickle.loads(held.value)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import Workspace
+from .storage import Workspace, share, shared
 from .words import _LOWER, PUNCTUATION, _tables, mix, text_slices, word_spans
 
 #: Terms that may stand for one another in a sentence; the first of each row is neutral.
@@ -123,7 +123,7 @@ class Model:
     bias: float
 
     @staticmethod
-    def fit(rows: list[tuple[int, bytes, list[bytes]]], slots: np.ndarray, width: int, penalty: float, ridge: float = 2e-5, steps: int = 400) -> Model:
+    def fit(rows: list[tuple[int, bytes, list[bytes]]], slots: np.ndarray, width: int, penalty: float, ridge: float = 2e-6, steps: int = 400) -> Model:
         """Logistic loss + ridge + penalty x mean squared change of the log-odds under swaps, by Adam on all rows."""
         if not rows:
             return Model(slots, np.zeros(width), -2.0)
@@ -132,8 +132,10 @@ class Model:
         a, b = _Rows([p[0] for p in pairs], width), _Rows([p[1] for p in pairs], width)
         w, bias = np.zeros(width), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
         m, v = np.zeros(width + 1), np.zeros(width + 1)
+        # The rarer label weighs more, by the root of its rarity.
+        weight = np.where(y > 0, np.sqrt(max(1.0, (len(y) - y.sum()) / max(1.0, y.sum()))), 1.0) / len(y)
         for t in range(1, steps + 1):
-            r = (_sigmoid(x.dot(w) + bias) - y) / len(y)
+            r = (_sigmoid(x.dot(w) + bias) - y) * weight
             g = x.back(r) + ridge * w
             if pairs:
                 d = (a.dot(w) - b.dot(w)) * 2 * penalty / len(pairs)
@@ -144,6 +146,21 @@ class Model:
             w, bias = w - step[:-1], bias - step[-1]
         return Model(slots, w, float(bias))
 
+    def shift(self, rows: list[tuple[int, bytes, list[bytes]]]) -> float:
+        """What to add to the log-odds so that THRESHOLD falls where F1 is best on rows that weren't learned from: in the middle of the best gap."""
+        y = np.array([r[0] for r in rows])
+        if y.sum() < 20 or (1 - y).sum() < 20:
+            return 0.0
+        odds = _Rows([r[1] for r in rows], len(self.weights)).dot(self.weights) + self.bias
+        order = np.argsort(-odds, kind="stable")
+        odds, hits = odds[order], np.cumsum(y[order])
+        f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+        f1[:-1][odds[:-1] == odds[1:]] = -1  # no cut between equal scores
+        best = np.flatnonzero(f1[:-1] >= f1[:-1].max() - 1e-12)
+        gaps = odds[best] - odds[best + 1]
+        cut = best[gaps.argmax()]
+        return float(np.log(THRESHOLD / (1 - THRESHOLD)) - (odds[cut] + odds[cut + 1]) / 2)
+
     def score(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(batch.schema.names.index("__text"))
@@ -181,24 +198,29 @@ def fit_toxicity(training: DataFrame, *, text_col: str = "text", label_col: str
     coded = rows.mapInArrow(lambda b: _encode(b, held.value, terms), "label int, own binary, swaps array<binary>").collect()
     work.drop(rows)
     coded = sorted((r.label, bytes(r.own), [bytes(s) for s in r.swaps]) for r in coded)
-    return Model.fit(coded, slots, len(best), penalty)
+    rest = [r for i, r in enumerate(coded) if i % 3 == 0]
+    shift = Model.fit([r for i, r in enumerate(coded) if i % 3], slots, len(best), penalty).shift(rest)
+    made = Model.fit(coded, slots, len(best), penalty)
+    made.bias += shift
+    return made
 
 
 def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and score (0 to 1) of every whole text, rows one for one; null and empty texts get the score of no words."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = share(docs.sparkSession, model)
     slim = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
-    return slim.mapInArrow(lambda b: held.value.score(b), T.StructType([*slim.drop("__text").schema.fields, T.StructField("score", T.DoubleType())]))
+    return slim.mapInArrow(lambda b: shared(held).score(b), T.StructType([*slim.drop("__text").schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns and in place: nothing is shuffled."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = share(docs.sparkSession, model)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared(held)
         for batch in batches:
             text = pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(text_col))], names=["__text"])
-            score = next(held.value.score(iter([text]))).column("score").to_numpy()
+            score = next(own.score(iter([text]))).column("score").to_numpy()
             yield batch.filter(pa.array(score < threshold))
 
     return docs.mapInArrow(clean, docs.schema)

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import share, shared
+
 _UPPER = {c: c + 32 for c in range(65, 91)}
 
 #: (action, host, path)
@@ -75,8 +77,7 @@ class Probe:
         return found
 
 
-def _judge(batches: Iterator[pa.RecordBatch], segment: Segment, lengths: list[int], default: str) -> Iterator[pa.RecordBatch]:
-    probe = Probe(segment)
+def _judge(batches: Iterator[pa.RecordBatch], probe: Probe, lengths: list[int], default: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.schema.names
         urls = batch.column(names.index("__url")).to_pylist()
@@ -128,13 +129,14 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = BASE_R
     parts = [rules[i : i + segment_rules] for i in range(0, len(rules), segment_rules)] or [[]]
     spark = pages.sparkSession
     for i, part in enumerate(parts):
-        held = spark.sparkContext.broadcast(Segment.build(part))
+        held = share(spark, Segment.build(part))
         last = i == len(parts) - 1
         keep_url = not last
 
         def run(batches, held=held, keep_url=keep_url, last=last):
+            probe = Probe(shared(held))
             for batch in batches:
-                for judged in _judge(iter([batch]), held.value, lengths, default if last else ""):
+                for judged in _judge(iter([batch]), probe, lengths, default if last else ""):
                     yield judged.append_column("__url", batch.column(batch.schema.names.index("__url"))) if keep_url else judged
 
         step = T.StructType([*schema.fields, *([T.StructField("__url", T.StringType())] if keep_url else [])])
