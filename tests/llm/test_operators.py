@@ -350,7 +350,8 @@ def test_near_duplicates(spark, corpus, k):
 def test_large_groups_go_through_leaders(spark, monkeypatch):
     """Groups beyond the sizes that are compared exhaustively, at similarities on both sides of the threshold."""
     monkeypatch.setattr(near, "SMALL", 4)
-    monkeypatch.setattr(near, "MIXED", 8)
+    monkeypatch.setattr(near, "OUTSIDE", 3)
+    monkeypatch.setattr(near, "INSIDE", 7)
     rng = random.Random(8)
     rows = []
     for g in range(2):
@@ -373,7 +374,7 @@ def test_recall_of_the_trees():
         x = rng.integers(1, 1 << 63, 450, dtype=np.uint64)
         a, b = x[:400], x[50:]  # 350 of 450 in common: 77.8 %
         ids = np.stack([near.minwise(a), near.minwise(b)])
-        keys = np.concatenate([near._descend(near.mix(np.full(2, t + 1, np.uint64)), ids, near.BRANCHES, 0) for t in range(near.TREES)], 1)
+        keys = np.concatenate([near._descend(near.mix(np.full(2, t + 1, np.uint64)), ids) for t in range(near.TREES)], 1)
         met += bool(set(keys[0]) & set(keys[1]))
     assert met >= 297
 
@@ -453,7 +454,7 @@ def test_contamination(spark):
 
     rows, want = [], set()
     for i in range(20):
-        rows.append((i, f"{prose(rng, rng.randint(0, 200))} {items[i][1].upper()}. {prose(rng, 50)}"))
+        rows.append((i, f"{prose(rng, rng.randint(0, 200))} {items[i][1].translate({c: c - 32 for c in range(97, 123)})}. {prose(rng, 50)}"))
         rows.append((100 + i, f"{prose(rng, 90)} {changed(items[i][1], 0.1)} {prose(rng, 40)}"))
         want |= {(i, i), (100 + i, i)}
         rows.append((200 + i, prose(rng, 150)))
