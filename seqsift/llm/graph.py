@@ -11,13 +11,10 @@ from .storage import Workspace
 def _star(work: Workspace, edges: DataFrame, large: bool) -> DataFrame:
     """Links each node's neighbours (those above it, or those up to it) to the smallest node it knows."""
     both = edges.union(edges.select("v", "u")) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    both = work.table(both.distinct())
-    least = work.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     joined = both.join(least, "u")
     out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else joined.select("v", "m").union(least).toDF("u", "v")
-    made = work.table(out.where("u != v").distinct())
-    work.drop(both, least)
-    return made
+    return work.table(out.where("u != v").distinct())
 
 
 def components(work: Workspace, edges: DataFrame, rounds: int = 60) -> DataFrame:
