@@ -21,7 +21,7 @@ BRANCHES = (2, 2, 1, 1, 1)
 #: Nodes up to this size are compared pair by pair where their leader left more than one component.
 SMALL = 24
 #: Rows of a block in which larger groups are compared: those outside the main component, and all others.
-OUTSIDE, INSIDE = 256, 1024
+OUTSIDE, INSIDE = 1024, 4096
 SKETCH = 64
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
