@@ -232,13 +232,16 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def redact_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with each span replaced by its kind in capitals in brackets; where spans overlap, the first that starts counts. Null stays null."""
-    found = find_pii(docs, id_col=id_col, text_col=text_col, keep=tuple(c for c in docs.columns if c != id_col), **options)
-    text = F.col(text_col).cast("string")
+    # All columns travel as one, so none can clash with those made on the way.
+    packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
+    found = find_pii(packed, id_col="id", text_col="text", keep=("text", "row"), **options)
+    text = F.col("text")
     by_start = F.array_sort(F.transform("all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
     put = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(F.concat(a["text"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("text"), s["end"].alias("at")))
     clean = F.aggregate(by_start, start, put, lambda a: F.concat(a["text"], F.substring(text, a["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(text.isNotNull(), F.when(F.size("all") > 0, clean).otherwise(text))).select(*docs.columns)
+    redacted = F.when(F.size("all") > 0, clean).otherwise(text)
+    return found.select(*((redacted if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
