@@ -188,6 +188,21 @@ def test_fuzzy_passage_and_hot_seeds(spark, monkeypatch):
     assert {r.doc_id for r in found} | {r.other_id for r in found} == set(range(40)) and len(found) < 40 * 10
 
 
+def test_passages_whose_parts_come_first(spark):
+    """Earlier documents hold either half of a passage: those with the whole of it are found all the same, few or many."""
+    rng = random.Random(19)
+    rows, whole = [], {}
+    for k, (parts, copies) in enumerate([(1, 2), (1, 2), (2, 5), (30, 40)]):
+        w = prose(rng, 60).split()
+        rows += [(1000 * k + i, f"{prose(rng, 20)} {' '.join(w[30 * (i % 2) :][:30])} {prose(rng, 20)}") for i in range(2 * parts)]
+        rows += [(1000 * k + 500 + i, f"{prose(rng, 20)} {' '.join(w)} {prose(rng, 20)}") for i in range(copies)]
+        whole[k] = {1000 * k + 500 + i for i in range(copies)}
+    split = {i: t.split() for i, t in rows}
+    found = passages.shared_passages(docs(spark, rows)).collect()
+    got = {r.doc_id for r in found} | {r.other_id for r in found}
+    assert got == {i for i in split if any(j != i and runs(split[i], split[j], 50) for j in split)} == set().union(*whole.values())
+
+
 def test_chains_by_brute_force():
     rng = random.Random(2)
     for _ in range(60):
