@@ -203,6 +203,21 @@ def test_passages_whose_parts_come_first(spark):
     assert got == {i for i in split if any(j != i and runs(split[i], split[j], 50) for j in split)} == set().union(*whole.values())
 
 
+def test_passages_with_edits_every_few_words(spark):
+    rng = random.Random(9)
+    shared = prose(rng, 80).split()
+    rows = []
+    for i in range(40):
+        w = list(shared)
+        for k in rng.sample(range(80), 5):
+            w[k] = rng.choice(VOCABULARY)
+        del w[40 + i % 20]
+        rows.append((i, f"{prose(rng, 20)} {' '.join(w)} {prose(rng, 20)}"))
+    found = passages.shared_passages(docs(spark, rows)).collect()
+    assert {r.doc_id for r in found} | {r.other_id for r in found} == set(range(40))
+    assert len(passages.shared_passages(docs(spark, rows[:2])).collect()) == 1
+
+
 def test_chains_by_brute_force():
     rng = random.Random(2)
     for _ in range(60):
