@@ -502,6 +502,22 @@ def test_contamination(spark):
     assert decontam.find_contamination(d, bench.limit(0)).count() == 0
 
 
+def test_long_items(spark):
+    """Items far longer than a window, verbatim and with 10 % of their words changed."""
+    rng = random.Random(23)
+    items = [(k, prose(rng, n)) for k, n in enumerate((150, 300, 500, 800, 1200, 2000))]
+    rows = [(i, prose(rng, 300)) for i in range(100)]
+    for k, text in items:
+        changed = [rng.choice(VOCABULARY) if rng.random() < 0.1 else w for w in text.split()]
+        rows += [(1000 + k, f"{prose(rng, 150)} {text} {prose(rng, 90)}"), (2000 + k, f"{prose(rng, 33)} {' '.join(changed)} {prose(rng, 150)}")]
+    found = decontam.find_contamination(docs(spark, rows), spark.createDataFrame(items, "item_id int, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(b + k, k) for b in (1000, 2000) for k, _ in items}
+    item = decontam.Item.of(0, items[3][1], np.ones(decontam.TERMS, np.float32))
+    words_ = words.hashes_of(f"{prose(rng, 900)} {items[3][1]} {prose(rng, 900)}", words.PUNCTUATION).tolist()
+    for at in (900, 900 + 400, 900 + 800 - 64):  # a window anywhere in the item reaches all of it
+        assert item.best_place(words_, max(0, at - item.reach), at + 800 + item.reach, 0.99, 0.5)
+
+
 def test_answers_must_be_there(spark):
     rng = random.Random(7)
     text = prose(rng, 40)
