@@ -4,10 +4,12 @@ import numpy as np
 import pytest
 from helpers import datum, points, tracks
 
+from seqsift import queries
 from seqsift.model import Accumulation, Distance, DuplicateKeyError, Params, QueryId, QuerySpec, Refine, SeqSiftError
 from seqsift.operators.lsh import Family, Index, probes
 from seqsift.operators.sample import estimate_radius, sample_distances
 from seqsift.operators.shingles import prefix_sums, shingles, sliding
+from seqsift.plans import adapters as A
 from seqsift.plans.query import search
 from seqsift.sources.collection import Collection, global_ids, locate
 from seqsift.streaming.standing import StandingQuery
@@ -181,3 +183,9 @@ def test_standing_query(spark, tmp_path, way):
     assert points(standing.results(spark)) == points(search(v, q, spec))
     again = StandingQuery(q, spec, f"{tmp_path}/state")  # a new process finds the state
     assert points(again.results(spark)) == points(search(v, q, spec))
+
+
+def test_round_trip_of_all_events(spark):
+    d = "/root/testdata/sf0.001"
+    shown = lambda v: sorted((r.key, r.pos, r.vec[0], round(r.power, 6), round(r.t_start, 3), round(r.t_end, 3)) for r in v.collect())
+    assert shown(queries.roundtrip(spark, d)) == shown(A.events(spark, d))
