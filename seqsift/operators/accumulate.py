@@ -41,7 +41,12 @@ def track_means(best: DataFrame, params: Params) -> DataFrame:
 
 
 def rank_tracks(best: DataFrame, params: Params) -> DataFrame:
-    return best.join(track_means(best, params).select("track_id", "track_rank"), "track_id")
+    """The points of the best ntracks tracks, with track_rank: a track's points (npoints at most) travel in one row, so nothing is joined or computed twice."""
+    order = [F.desc("mean_dist") if params.distance.larger_is_better else F.asc("mean_dist"), "track_id"]
+    own = [c for c in best.columns if c != "track_id"]
+    kept = best.groupBy("track_id").agg(F.avg("dist").alias("mean_dist"), F.collect_list(F.struct(*own)).alias("__points"))
+    top = kept.orderBy(*order).limit(params.ntracks).withColumn("track_rank", F.row_number().over(W.orderBy(*order)))  # at most ntracks rows
+    return top.select("track_id", "track_rank", F.inline("__points")).select(*best.columns, "track_rank")
 
 
 def merge(previous: DataFrame, points: DataFrame, params: Params) -> DataFrame:

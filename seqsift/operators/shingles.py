@@ -19,6 +19,11 @@ def with_norms(vectors: DataFrame, n: int | None = None) -> DataFrame:
     return vectors.withColumn("n2", squared_norm(F.col("vec"), n))
 
 
+def once(value: Column) -> Column:
+    """A value that is computed once for each row: filters on it are not pushed below, which would compute it again for each of its uses."""
+    return F.explode(F.array(value))
+
+
 def _chunked(rows: DataFrame, length: int, chunk: int) -> DataFrame:
     own = F.floor(F.col("pos") / chunk)
     before = F.when((F.col("pos") % chunk < length - 1) & (F.col("pos") >= chunk), own - 1)
@@ -53,7 +58,7 @@ def shingles(vectors: DataFrame, length: int, *, power: bool = False, dim: int |
         values = {"__vs": F.collect_list("vec")}
         if power:
             values["pow"] = F.avg("power")
-        out = sliding(base, length, values, chunk).where(on_grid).withColumn("sh", F.flatten("__vs"))
+        out = sliding(base, length, values, chunk).where(on_grid).withColumn("sh", once(F.flatten("__vs")))
     return out.select("track_id", "key", "pos", "sh", F.sqrt(squared_norm(F.col("sh"), n)).alias("norm"), *(["pow"] if power else []))
 
 

@@ -14,9 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _numbered(rows: DataFrame, track: str, order: list[str], **columns: Column) -> DataFrame:
-    """Positions count from 0 in the given order within each track."""
-    pos = F.row_number().over(W.partitionBy(track).orderBy(*order)) - 1
-    return rows.select(F.col(track).cast("int").alias("track_id"), F.col(track).cast("string").alias("key"), pos.alias("pos"), *(c.alias(k) for k, c in columns.items()))
+    """Positions count from 0 in the given order within each track. Tracks are parted by key as well, so that a filter on keys goes below the numbering."""
+    named = rows.withColumns({"__track": F.col(track).cast("int"), "__key": F.col(track).cast("string")})
+    pos = F.row_number().over(W.partitionBy("__track", "__key").orderBy(*order)) - 1
+    return named.select(F.col("__track").alias("track_id"), F.col("__key").alias("key"), pos.alias("pos"), *(c.alias(k) for k, c in columns.items()))
 
 
 def seconds(ts: str) -> Column:

@@ -11,7 +11,7 @@ from seqsift.functions.vectors import distance
 from seqsift.model import Accumulation, Distance, Params, QueryId, QuerySpec, Refine, SeqSiftError
 from seqsift.operators.accumulate import accumulate, best_per_track, track_means
 from seqsift.operators.refine import allowed_tracks, duration_fits, powers_fit, within_radius
-from seqsift.operators.shingles import mean_durations, shingles
+from seqsift.operators.shingles import mean_durations, once, shingles
 
 #: Query shingles are broadcast up to this many bytes, and dealt out otherwise.
 BROADCAST_BYTES = 64 << 20
@@ -84,7 +84,7 @@ class Query:
         if refine.needs_power:
             pairs = pairs.where(powers_fit(refine, F.col("qpow"), F.col("ipow")))
         d = distance(p.distance, F.col("qsh"), F.col("sh"), F.col("qnorm"), F.col("norm"), self.dim * self.spec.qid.length, p.kl_asymmetric)
-        out = pairs.select("track_id", "qkey", "ikey", "qpos", "ipos", d.alias("dist"))
+        out = pairs.select("track_id", "qkey", "ikey", "qpos", "ipos", once(d).alias("dist"))
         return out.where(within_radius(F.col("dist"), refine.radius)) if refine.radius is not None else out
 
     def points(self) -> DataFrame:
