@@ -11,13 +11,16 @@ from .storage import Workspace
 def _star(work: Workspace, edges: DataFrame, large: bool) -> DataFrame:
     """Links each node's neighbours (those above it, or those up to it) to the smallest node it knows."""
     both = edges.union(edges.select("v", "u")) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # Written, so that Spark sees two plain tables and splits a node with very many neighbours.
+    least = work.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     joined = both.join(least, "u")
     out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else joined.select("v", "m").union(least).toDF("u", "v")
-    return work.table(out.where("u != v").distinct())
+    out = work.table(out.where("u != v").distinct())
+    work.drop(least)
+    return out
 
 
-def components(work: Workspace, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(work: Workspace, edges: DataFrame) -> DataFrame:
     """(id, component) for every node of ``edges`` (u long, v long): component is the smallest id reachable.
 
     Alternates large-star and small-star until nothing moves; each turn is a few joins on node ids and is written to
@@ -25,7 +28,7 @@ def components(work: Workspace, edges: DataFrame, rounds: int = 60) -> DataFrame
     """
     now = work.table(edges.where("u != v").select(F.col("u").cast("long"), F.col("v").cast("long")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:  # settles after at most as many turns as the square of the logarithm of the nodes
         wide = _star(work, now, True)
         work.drop(now)
         now = _star(work, wide, False)
@@ -34,6 +37,4 @@ def components(work: Workspace, edges: DataFrame, rounds: int = 60) -> DataFrame
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark import Broadcast, cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches stay small, as a row may hold a very long text.
@@ -19,7 +19,11 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='seqsift-')}"
+        path = sc.getCheckpointDir()
+    if not path:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='seqsift-')}"
         sc.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -55,6 +59,20 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def as_rows(docs: DataFrame) -> DataFrame:
+    """Each row as one column ``row``, so that no name of an operator's own can clash with one of ``docs``; see :func:`part`."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def part(name: str) -> Column:
+    """A column of the rows that :func:`as_rows` has packed."""
+    return F.col("row").getField(name)
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*")
+
+
 def broadcast_if_few(table: DataFrame, rows: int = 400_000) -> DataFrame:
     """Marks a written table of short rows for broadcast if it has at most ``rows``; else Spark is free to shuffle."""
     return F.broadcast(table) if table.count() <= rows else table

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import Workspace, share, shared
-from .words import _LOWER, PUNCTUATION, _tables, mix, text_slices, word_spans
+from .words import PUNCTUATION, RunHashes, mix, text_slices, word_spans
 
 #: Terms that may stand for one another in a sentence; the first of each row is neutral.
 IDENTITY_TERMS = (
@@ -35,14 +35,12 @@ THRESHOLD = 0.7
 def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of all words, a column for each of PREFIXES (-1 where a word is too short), and the text each belongs to."""
     start, stop, of = word_spans(data, offsets, PUNCTUATION)
-    up, down = _tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    hashes = RunHashes(data)
     out = np.full((len(start), len(PREFIXES)), -1, np.int64)
     for c, n in enumerate(PREFIXES):
         ok = stop - start > n
         at, end = start[ok], (start[ok] + n if n else stop[ok])
-        out[ok, c] = mix(((sums[end] - sums[at]) * down[at]) ^ np.uint64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(64 - BITS)
+        out[ok, c] = mix(hashes(at, end) ^ np.uint64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(64 - BITS)
     return out, np.repeat(np.arange(len(offsets) - 1), np.diff(of))
 
 
