@@ -26,7 +26,7 @@ SMALL = 16
 #: Pairs of one class that are checked together, and bytes of text that are.
 MEMBERS, CHECK_BYTES = 512, 4 << 20
 #: Shingles in a block in which what is left of large groups is compared: those outside the main component, and all others.
-OUTSIDE, INSIDE = 1 << 18, 1 << 20
+OUTSIDE, INSIDE = 1 << 19, 1 << 18
 SKETCH = 64
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -204,7 +204,10 @@ class _Join:
             large = members.where(F.col("n") > SMALL)
             if not branches or large.isEmpty():
                 break
-            nodes = large.select("node", "class_id").join(known, "class_id").select("node", "class_id", "tokens").mapInArrow(lambda b, level=level, n=branches: _children(b, level, n), "node long, class_id long")
+            if level == len(BRANCHES):  # only these classes branch on, so only their tokens are sent again
+                known = work.table(known.join(large.select("class_id").distinct(), "class_id", "left_semi"))
+            deeper = large.select("node", "class_id").join(known, "class_id").select("node", "class_id", "tokens")
+            nodes = work.table(deeper.mapInArrow(lambda b, level=level, n=branches: _children(b, level, n), "node long, class_id long"))
         out = small[0]
         for x in small[1:]:
             out = out.union(x)
