@@ -178,12 +178,12 @@ def test_fuzzy_passage_and_hot_seeds(spark, monkeypatch):
     rows = []
     for i in range(40):
         w = list(shared)
-        w[rng.randrange(80)] = rng.choice(VOCABULARY)  # with edits every few words no run of 18 is left, and a passage may be missed
-        if i % 2:
-            del w[40]
+        for k in rng.sample(range(80), 5):
+            w[k] = rng.choice(VOCABULARY)
+        del w[40]
         rows.append((i, f"{prose(rng, 20)} {' '.join(w)} {prose(rng, 20)}"))
     monkeypatch.setattr(passages, "SAMPLE", 30)  # so that the passage's seeds count as hot and are salted
-    monkeypatch.setattr(passages, "HOT_SHARE", 0.2)
+    monkeypatch.setattr(passages, "HOT", 4)
     found = passages.shared_passages(docs(spark, rows)).collect()
     assert {r.doc_id for r in found} | {r.other_id for r in found} == set(range(40)) and len(found) < 40 * 10
 
@@ -218,6 +218,33 @@ def test_passages_with_edits_every_few_words(spark):
     assert len(passages.shared_passages(docs(spark, rows[:2])).collect()) == 1
 
 
+@pytest.mark.parametrize("n", [60, 80])
+def test_recall_of_passages_by_share_of_changed_words(spark, n):
+    """Of passages of which exactly so many words were replaced in one of two copies, those found; at 20 % they are just alike enough."""
+    rng, rows, pairs = random.Random(31), [], {}
+    for percent in (5, 10, 15, 20):
+        for _ in range(60):
+            w = prose(rng, n).split()
+            other = list(w)
+            for k in rng.sample(range(1, n - 1), n * percent // 100):
+                other[k] = "x" + rng.choice(VOCABULARY)
+            i = len(rows)
+            pairs[i, i + 1] = percent
+            rows += [(i, f"{prose(rng, 30)} {' '.join(w)} {prose(rng, 30)}"), (i + 1, f"{prose(rng, 30)} {' '.join(other)} {prose(rng, 30)}")]
+    found = {tuple(sorted((r.doc_id, r.other_id))) for r in passages.shared_passages(docs(spark, rows)).collect()}
+    recall = {percent: sum(p in found for p, x in pairs.items() if x == percent) / 60 for percent in (5, 10, 15, 20)}
+    print(n, recall)
+    assert min(recall.values()) >= 0.9
+
+
+def test_passages_of_any_ids(spark):
+    rng = random.Random(33)
+    shared = prose(rng, 60)
+    rows = [("a", shared), (None, shared), ("b", f"{prose(rng, 9)} {shared}"), ("c", prose(rng, 80)), ("d", None), ("e", "")]
+    found = passages.shared_passages(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [{r.doc_id, r.other_id} for r in found] == [{"a", "b"}]
+
+
 def test_chains_by_brute_force():
     rng = random.Random(2)
     for _ in range(60):
