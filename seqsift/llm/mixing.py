@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import Workspace
+from .storage import Workspace, as_rows, part
 
 SEED = "mix-1"
 ALPHA = 0.5
@@ -23,19 +23,20 @@ def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, *, id_
     each of its documents comes k times, k from the Poisson distribution with that mean, inverted at a number hashed
     from ``seed`` and the id. ``targets`` maps sources to weights, those not named get none; without it weights are
     n ** alpha (1: as they are, 0: all alike). ``total`` is the expected number of rows, else as many as there are
-    documents. Columns of ``docs`` stay; copy_no (from 1) and shuffle_key (the order) are added, and replace columns
-    of these names.
+    documents. Columns of ``docs`` stay, whatever they are called; copy_no (from 1) and shuffle_key (the order) are
+    added, and replace columns of these names.
 
     A null source is a source of its own, named "" in ``targets``, and is not the source "". Rows with a null id or
-    repeated ids draw alike for one id. An empty table, or weights that are all 0, give an empty result.
+    repeated ids draw alike for one id, and their copies of one number stand side by side in no fixed order. An empty table, or weights that are all 0, give an empty result.
     Counts per source are summed before they are shuffled; the rates are written to the shared folder, and Spark
     broadcasts them only if that table is small, so texts are shuffled once. Otherwise a hot source is a skewed join,
     which AQE splits.
     """
     docs = docs.drop("copy_no", "shuffle_key")
-    source, key = F.col(source_col).cast("string"), F.concat(F.lit("s"), F.col(source_col).cast("string"))
-    keyed = docs.withColumn("__mix", F.coalesce(key, F.lit("null")))
-    counts = docs.groupBy(F.coalesce(key, F.lit("null")).alias("__mix"), source.alias("__source")).agg(F.count("*").cast("double").alias("__n"))
+    rows = as_rows(docs)
+    source = part(source_col).cast("string")
+    key = F.coalesce(F.concat(F.lit("s"), source), F.lit("null"))
+    counts = rows.groupBy(key.alias("__mix"), source.alias("__source")).agg(F.count("*").cast("double").alias("__n"))
     if targets is None:
         weight = F.pow("__n", F.lit(float(alpha)))
     else:
@@ -54,14 +55,20 @@ def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, *, id_
     # One row of sums: a broadcast of fixed size.
     rates = weighed.crossJoin(F.broadcast(sums)).withColumn("__rate", rate).where("__rate > 0").select("__mix", cdf.alias("__cdf"))
     rates = Workspace(docs.sparkSession, "mix").table(rates)  # written, so that Spark knows its size before it plans the join
-    drawn = keyed.join(rates, "__mix").withColumn("__u", _uniform(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    id_text = F.coalesce(part(id_col).cast("string"), F.lit(""))
+    drawn = rows.withColumn("__mix", key).join(rates, "__mix").select("row", "__cdf", _uniform(F.lit(seed), id_text).alias("__u"))
     k = F.size(F.filter("__cdf", lambda c: c < F.col("__u")))
-    copies = drawn.withColumn("__k", k).where("__k > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__k"))))
-    order = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy_no").cast("string")))
-    return copies.withColumn("shuffle_key", order).select(*docs.columns, "copy_no", "shuffle_key").orderBy("shuffle_key")
+    copies = drawn.select("row", k.alias("__k")).where("__k > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("__k"))).alias("copy_no"))
+    order = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), id_text, F.col("copy_no").cast("string")))
+    # Keys are spread evenly, so equal ranges of their first 32 bits are equal parts: nothing is sampled, texts are read once.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long") * n / float(1 << 32)).cast("int")
+    ordered = copies.withColumn("shuffle_key", order).repartitionById(n, place).sortWithinPartitions("shuffle_key")
+    return ordered.select("row.*", "copy_no", "shuffle_key")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, sources weighted by the square root of their size; nulls, ties and repeats as in :func:`mix_sources`."""
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
