@@ -29,6 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_open: list[Workspace] = []
+
+
+def clear_workspaces() -> None:
+    """Deletes the tables of all operators that were called so far, once their results have been written elsewhere."""
+    while _open:
+        _open[-1].clear()
+
+
 class Workspace:
     """Tables written to the shared folder: reading one again never repeats the work that made it,
     whichever executor was lost meanwhile."""
@@ -37,6 +46,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/seqsift/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        _open.append(self)
 
     def table(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -57,6 +67,8 @@ class Workspace:
         """Deletes all tables, once what was made of them is written elsewhere."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        if self in _open:
+            _open.remove(self)
 
 
 def as_rows(docs: DataFrame) -> DataFrame:
@@ -84,4 +96,7 @@ def share(spark: SparkSession, value: object) -> Broadcast:
 
 
 def shared(held: Broadcast):
-    return cloudpickle.loads(held.value)
+    """The object, made once in each worker: its broadcasts outlive a task."""
+    if not hasattr(held, "seqsift_made"):
+        held.seqsift_made = cloudpickle.loads(held.value)
+    return held.seqsift_made
