@@ -356,15 +356,69 @@ def test_colliding_keys_are_chained():
 
     rows = pa.RecordBatch.from_pylist([{"key": 1, "sha": s, "body": b, "n": 1, "low_id": i, "low_row": i} for i, (s, b) in enumerate([(b"x", b"1"), (b"y", b"2"), (b"x", b"1")])])
     out = [r for b in exact._owner(iter([rows])) for r in b.to_pylist()]
-    assert [(r["sha"], r["group_size"], r["keep_id"], r["chain"]) for r in out] == [(b"x", 2, 0, 0), (b"y", 1, 1, 1)]
+    assert [(r["sha"], r["chain"]) for r in out] == [(b"x", 0), (b"y", 1)]
     bad = pa.RecordBatch.from_pylist([{"key": 1, "sha": b"x", "body": b, "n": 1, "low_id": 0, "low_row": 0} for b in (b"1", b"2")])
     with pytest.raises(ValueError):
         list(exact._owner(iter([bad])))
 
 
+def test_a_task_sends_a_text_once_and_forgets_the_oldest(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(exact, "REMEMBERED", 25)
+    batches = [pa.RecordBatch.from_pylist([{"doc_id": i, "row_no": i, "text": t}], pa.schema([("doc_id", pa.int64()), ("row_no", pa.int64()), ("text", pa.string())])) for i, t in enumerate(["a" * 10, "a" * 10, "b" * 10, "c" * 10, "a" * 10, None, "", "a" * 10])]
+    out = [r for b in exact._pages(iter(batches), pa.int64()) for r in b.to_pylist()]
+    assert [r["body"] is not None for r in out] == [True, False, True, True, True, True, False, False] and all(r["n"] == 1 for r in out)
+
+
+#: Names that operators use for columns of their own.
+OWN_NAMES = ("row", "id", "doc", "mark", "gone", "gone_id", "gone_sha", "gone_mark", "__id", "__sha", "__gone", "__mix", "__cdf", "__u", "__k", "__text", "component", "component_id", "kept", "keep_id", "sha", "score", "item", "key", "node", "other", "h", "n")
+
+
+def clashing(spark):
+    """Rows whose other columns have the operators' own names, an empty and a null text, a copy and a leaked passage."""
+    rng = random.Random(41)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(1, a, "s", *range(len(OWN_NAMES))), (2, a, "s", *range(len(OWN_NAMES))), (3, b, None, *range(len(OWN_NAMES))), (4, None, "t", *range(len(OWN_NAMES))), (5, "", "t", *range(len(OWN_NAMES)))]
+    return spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *(f"`{c}` int" for c in OWN_NAMES)])), b
+
+
+@pytest.mark.parametrize("kind", ["exact", "near", "mixing", "decontamination"])
+def test_other_columns_keep_their_values_whatever_they_are_called(spark, kind):
+    rows, leaked = clashing(spark)
+    run = {"exact": exact.drop_exact_duplicates, "near": near.drop_near_duplicates, "mixing": lambda d: mixing.mix_sources(d).drop("copy_no", "shuffle_key"), "decontamination": lambda d: decontam.drop_contaminated(d, spark.createDataFrame([(1, leaked)], "item_id long, text string"))}[kind]
+    out = run(rows)
+    got = {tuple(r) for r in out.collect()}
+    assert out.columns == rows.columns and got <= {tuple(r) for r in rows.collect()}
+    left = {"exact": {1, 3, 4}, "near": {1, 3, 4, 5}, "decontamination": {1, 2, 4, 5}}.get(kind)
+    assert left is None or {r[0] for r in got} == left
+
+
+def test_ids_that_are_strings(spark):
+    rng = random.Random(43)
+    a = prose(rng, 60)
+    rows = spark.createDataFrame([("b", a), ("a", a), (None, a), ("c", a + " more"), ("d", None), ("d", "")], "doc_id string, text string")
+    assert {(r.doc_id, r.keep_id) for r in exact.exact_duplicates(rows).collect()} == {("a", "a"), ("b", "a"), (None, "a"), ("c", "c"), ("d", "d")}
+    assert {(r.doc_id, r.component_id) for r in near.near_duplicates(rows).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), (None, None), ("d", "d")}
+    assert {r.doc_id for r in near.drop_near_duplicates(rows).collect()} == {"a", None, "d"} and near.drop_near_duplicates(rows).count() == 4
+
+
 # --- 8: near copies
 
 
+def test_words_that_collide_modulo_a_power_of_two(spark):
+    """Thue-Morse words of 2048 characters and their complements have one hash under any polynomial modulo 2**64."""
+    bits = [0]
+    for _ in range(11):
+        bits += [1 - x for x in bits]
+    x, y = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    for k in (2, 5):
+        rows = [(1, " ".join([x] * 3 + [y] * 4)), (2, " ".join([y] * 3 + [x] * 4)), (3, f"{x} one two three four five"), (4, f"{y} one two three four six")]
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(docs(spark, rows), shingle_words=k).collect()}
+        assert got == brute_near(rows, k) and got[1][1] != got[2][1]
+
+
+
 def brute_near(rows, k, percent=80):
     sets, out = {}, {}
     for i, t in rows:
@@ -553,6 +607,34 @@ def test_answers_must_be_there(spark):
     assert {r.item_id for r in decontam.find_contamination(d, bench, answer_col="answer").collect()} == {2}
 
 
+@pytest.mark.parametrize("size", [40, 300])
+def test_recall_of_items_by_share_of_changed_words(spark, size):
+    """Of items of which so many words were replaced and that still keep 70 % in order, those found, by brute force over all pairs."""
+    rng, rows, items, want = random.Random(53), [], [], {}
+    for percent in (0, 15, 20, 25, 28):
+        for _ in range(25):
+            w, k = prose(rng, size).split(), len(items)
+            items.append((k, " ".join(w)))
+            for x in rng.sample(range(size), size * percent // 100):
+                w[x] = rng.choice(VOCABULARY)
+            rows.append((k, f"{prose(rng, rng.randint(0, 90))} {' '.join(w)} {prose(rng, rng.randint(0, 90))}"))
+            want[k] = percent
+    found = {(r.doc_id, r.item_id) for r in decontam.find_contamination(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    recall = {p: sum((k, k) in found for k, x in want.items() if x == p) / 25 for p in (0, 15, 20, 25, 28)}
+    print(size, recall)
+    assert min(recall.values()) >= 0.9 and recall[0] == 1 and all(a == b for a, b in found)
+
+
+def test_items_in_parts_and_rows_without_ids(spark):
+    rng = random.Random(59)
+    items = [(i, prose(rng, 30)) for i in range(12)]
+    rows = [(None if i % 2 else 7, f"{prose(rng, 40)} {items[i][1]}") for i in range(6)] + [(7, prose(rng, 80)), (None, prose(rng, 80)), (8, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.find_contamination(docs(spark, rows), benchmark, max_items=5).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(None if i % 2 else 7, i) for i in range(6)}
+    assert Counter(r.doc_id for r in decontam.drop_contaminated(docs(spark, rows), benchmark).collect()) == {7: 1, None: 1, 8: 1}
+
+
 def test_common_length_by_dynamic_programming():
     rng = random.Random(1)
     for _ in range(100):
