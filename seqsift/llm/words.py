@@ -69,7 +69,7 @@ class RunHashes:
         return mix(mix(first) + second * np.uint64(0xD6E8FEB86659FD93))
 
 
-def text_slices(column: pa.Array, limit: int = 1 << 20):
+def text_slices(column: pa.Array, limit: int = 1 << 17):
     """Runs of texts with about ``limit`` bytes each, or one longer text: (first, last + 1, bytes, offsets). Null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
