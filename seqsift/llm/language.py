@@ -26,27 +26,33 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed runs of three bytes around each letter byte, texts set off by spaces, and the text each belongs to."""
+def _grams(data: np.ndarray, offsets: np.ndarray, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed runs of three bytes around each letter byte from ``first`` to ``last``, texts set off by spaces, and the text each belongs to."""
     sizes = np.diff(offsets)
     of_byte = np.repeat(np.arange(len(sizes)), sizes)
     padded = np.full(len(data) + len(sizes) + 1, 0x20, np.uint32)
     padded[np.arange(len(data)) + of_byte + 1] = _LETTER[data]
     at = np.flatnonzero(padded[1:-1] != 0x20) + 1
+    if first or last is not None:  # of a single text
+        at = at[(at > first) & (at <= (len(data) if last is None else last))]
     three = padded[at - 1] << np.uint32(16) | padded[at] << np.uint32(8) | padded[at + 1]
     of_place = np.zeros(len(padded), np.int64)
     of_place[np.arange(len(data)) + of_byte + 1] = of_byte
     return (three * np.uint32(2654435761)) >> np.uint32(32 - BITS), of_place[at]
 
 
-def _pieces(data: np.ndarray, offsets: np.ndarray, size: int = 1 << 21):
-    """A very long text in pieces, so memory stays bounded; three-byte runs across a cut are lost."""
-    if len(offsets) == 2 and len(data) > size:
-        for i in range(0, len(data), size):
-            part = data[i : i + size]
-            yield part, np.array([0, len(part)])
+#: Bytes of a very long text that are looked at together, so memory stays bounded.
+PIECE = 1 << 21
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray):
+    """The arguments of :func:`_grams`: all texts at once, or pieces of a very long one, which overlap by a byte on either side."""
+    if len(offsets) == 2 and len(data) > PIECE:
+        for i in range(0, len(data), PIECE):
+            low, high = max(0, i - 1), min(len(data), i + PIECE + 1)
+            yield data[low:high], np.array([0, high - low]), i - low, min(len(data), i + PIECE) - low
     else:
-        yield data, offsets
+        yield data, offsets, 0, None
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
@@ -100,8 +106,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
         for i, j, data, offsets in text_slices(batch.column(1)):
-            for part, cuts in _pieces(data, offsets):
-                grams, of = _grams(part, cuts)
+            for piece in _pieces(data, offsets):
+                grams, of = _grams(*piece)
                 own = langs[i:j]
                 for lang in set(own):
                     counts[lang] = counts.get(lang, 0) + np.bincount(grams[(own == lang)[of]], minlength=1 << BITS)
@@ -117,8 +123,8 @@ def _score(model: Model, batches: Iterator[pa.RecordBatch], lead: float) -> Iter
         plain = None
         for i, j, data, offsets in text_slices(text):
             total = np.zeros(j - i)
-            for part, cuts in _pieces(data, offsets):
-                grams, of = _grams(part, cuts)
+            for piece in _pieces(data, offsets):
+                grams, of = _grams(*piece)
                 if len(grams):
                     first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
                     margins[i + of[first]] += np.add.reduceat(model.weights[grams], first, 0) if model.weights.shape[1] else 0
@@ -139,25 +145,24 @@ def _score(model: Model, batches: Iterator[pa.RecordBatch], lead: float) -> Iter
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(gap < lead, pa.bool_())], names=[*(batch.schema.names[i] for i in keep), "lang_pred", "score", "ambiguous"])
 
 
-def identify_language(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_languages: int = 64, lead: float = 0.2) -> DataFrame:
+def identify_language(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lead: float = 0.2) -> DataFrame:
     """Predicts the language of every whole text: the id, lang_pred, score (0 to 1), ambiguous (close second).
 
     Binary classifiers of three-byte runs predict the bits of language codewords, from counts over all of
-    ``training`` (its text and non-null lang; the ``max_languages`` most frequent if there are more). Loss-weighted
-    decoding takes the nearest codeword. lang_pred is "und" with score 0 where a text is null or has no letter, and
-    everywhere if nothing can be learned. Rows are kept one for one; an empty table gives an empty result.
-    What reaches the driver is languages x 2**14 counts.
+    ``training`` (its text and non-null lang, all of its languages). Loss-weighted decoding takes the nearest codeword. lang_pred is "und" with score 0 where a text is null or has no letter, and
+    everywhere if nothing can be learned. Rows are kept one for one, repeated ones and those with a null id too; an
+    empty table gives an empty result; other columns are not read.
+    What reaches the driver is languages x 2**14 counts, 128 KB a language.
     """
     spark = docs.sparkSession
     shared_dir(spark)
-    labelled = training.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and lang != 'und'")
+    labelled = training.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null")
     rows = labelled.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    sums = rows.groupBy("lang").agg(F.sum("n").alias("__all"), F.collect_list(F.struct("gram", "n")).alias("grams"))
-    counts = {}
-    for r in sums.orderBy(F.desc("__all"), "lang").limit(max_languages).collect():
-        counts[r.lang] = np.zeros(1 << BITS)
+    counts: dict[str, np.ndarray] = {}
+    for r in rows.groupBy("lang").agg(F.collect_list(F.struct("gram", "n")).alias("grams")).toLocalIterator():
+        own = counts.setdefault(r.lang, np.zeros(1 << BITS))
         for gram, n in r.grams:
-            counts[r.lang][gram] = n
+            own[gram] = n
     held = share(spark, Model.fit(counts))
     slim = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     schema = T.StructType([*slim.drop("__text").schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
@@ -165,6 +170,7 @@ def identify_language(docs: DataFrame, training: DataFrame, *, id_col: str = "do
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those not held out; nulls, ties and repeats as in :func:`identify_language`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     out = identify_language(docs, docs.where(~held_out).where("doc_id is not null"))
