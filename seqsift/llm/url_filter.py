@@ -12,7 +12,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .storage import share, shared
 
@@ -77,6 +76,18 @@ class Probe:
         return found
 
 
+def _weight(rule: str) -> tuple[int, int]:
+    """The longest rule decides; of one length, that which names more of the host. No two rules have both alike and fit one url."""
+    return len(rule), rule.find("/") % (len(rule) + 1)
+
+
+def _probe(held) -> Probe:
+    """The segment's file, made once in each worker."""
+    if not hasattr(held, "seqsift_probe"):
+        held.seqsift_probe = Probe(shared(held))
+    return held.seqsift_probe
+
+
 def _judge(batches: Iterator[pa.RecordBatch], probe: Probe, lengths: list[int], default: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.schema.names
@@ -97,56 +108,64 @@ def _judge(batches: Iterator[pa.RecordBatch], probe: Probe, lengths: list[int],
         rules, verdicts = [], []
         old = zip(*(batch.column(names.index(c)).to_pylist() for c in ("rule", "verdict")), strict=True)
         for own, (rule, verdict) in zip(tries, old, strict=True):
-            # Longest first; of one length, the rule that names more of the host.
-            best = max((i for i in own if found[i] >= 0), key=lambda i: (len(strings[i].decode()), strings[i].index(b"/") if b"/" in strings[i] else len(strings[i])), default=None)
-            if best is not None and (rule is None or len(strings[best].decode()) > len(rule)):
+            best = max((i for i in own if found[i] >= 0), key=lambda i: _weight(strings[i].decode()), default=None)
+            if best is not None and (rule is None or _weight(strings[best].decode()) > _weight(rule)):
                 rule, verdict = strings[best].decode(), "block" if probe.blocks[found[best]] else "allow"
             rules.append(rule)
             verdicts.append(verdict or default)
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i, c in enumerate(names) if c not in ("__url", "host", "path", "rule", "verdict")), *(pa.array(x, pa.string()) for x in ([h for h, _ in parts], [p for _, p in parts], rules, verdicts))], names=[*(c for c in names if c not in ("__url", "host", "path", "rule", "verdict")), "host", "path", "rule", "verdict"])
 
 
-def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = BASE_RULES, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow", segment_rules: int = 1_000_000) -> DataFrame:
+def _segments(rules: DataFrame | Iterable[tuple[str, str, str]], size: int) -> tuple[list[int], Iterator[list[tuple[str, str, str]]]]:
+    """The lengths of all paths, and the rules in parts of about ``size``. A table of rules is brought to the driver one part at a time."""
+    if not isinstance(rules, DataFrame):
+        made = sorted(dict.fromkeys((a, h.translate(_UPPER), p) for a, h, p in rules))
+        if any(a not in ("allow", "block") or not h for a, h, _ in made):
+            raise ValueError("a rule is (allow or block, host, path) with a host")
+        if len({h + p for _, h, p in made}) < len(made):
+            raise ValueError("two rules have the same host and path")
+        return sorted({len(p) for _, _, p in made}), iter([made[i : i + size] for i in range(0, len(made), size)] or [[]])
+    lower = F.translate(F.col("host"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    table = rules.select("action", lower.alias("host"), F.coalesce("path", F.lit("")).alias("path")).distinct()
+    if not table.where("action is null or action not in ('allow', 'block') or coalesce(host, '') = ''").isEmpty():
+        raise ValueError("a rule is (allow or block, host, path) with a host")
+    if not table.groupBy(F.concat("host", "path")).count().where("count > 1").isEmpty():
+        raise ValueError("two rules have the same host and path")
+    lengths = sorted(r.n for r in table.select(F.length("path").alias("n")).distinct().collect())
+    n = max(1, -(-table.count() // size))
+    return lengths, (sorted(tuple(r) for r in table.where(F.pmod(F.xxhash64("host", "path"), F.lit(n)) == i).collect()) for i in range(n))
+
+
+def filter_urls(pages: DataFrame, rules: DataFrame | Iterable[tuple[str, str, str]] = BASE_RULES, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow", segment_rules: int = 1_000_000) -> DataFrame:
     """Judges every url: id, host, path, rule (host and path of the rule that decides, else null), verdict.
 
-    A rule (action, host, path) fits its host and all subdomains if the url's path starts with the rule's; of the
-    rules that fit the longest decides, else ``default``. Null urls and urls without "://" have an empty host and
-    path and fit no rule. Rows are kept one for one, repeated ones too; an empty table gives an empty result; an
-    empty list lets everything be judged by ``default``; other columns are not read.
+    ``rules`` are (action, host, path), as tuples or as a table with these columns. A rule fits its host and all
+    subdomains if the url's path starts with the rule's; of the rules that fit the longest decides, of several that
+    which names more of the host, else ``default``. Null urls and urls without "://" have an empty host and path and fit
+    no rule. Rows are kept one for one, repeated ones and those with a null id too; an empty table gives an empty
+    result; an empty list lets everything be judged by ``default``; other columns are not read.
 
-    The list is cut into segments of at most ``segment_rules`` rules. Each is broadcast in one map-only pass over the
-    pages, so no list is too long for an executor's memory and no pass shuffles.
+    The list is cut into segments of about ``segment_rules`` rules. Each is broadcast in one map-only pass over the
+    pages, so no list is too long for an executor's memory and no pass shuffles; how it is cut doesn't change verdicts.
     """
-    rules = sorted(dict.fromkeys((a, h.translate(_UPPER), p) for a, h, p in rules))
-    if any(a not in ("allow", "block") or not h for a, h, _ in rules):
-        raise ValueError("a rule is (allow or block, host, path) with a host")
-    if len({(h + p) for _, h, p in rules}) < len(rules):
-        raise ValueError("two rules have the same host and path")
-    lengths = sorted({len(p) for _, _, p in rules})
-    out = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("__url"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
-    kept = pages.select(id_col).schema.fields
-    schema = T.StructType([*kept, *(T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict"))])
-    parts = [rules[i : i + segment_rules] for i in range(0, len(rules), segment_rules)] or [[]]
+    lengths, parts = _segments(rules, segment_rules)
     spark = pages.sparkSession
-    for i, part in enumerate(parts):
+    out = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("__url"), *(F.lit(None).cast("string").alias(c) for c in ("host", "path", "rule", "verdict")))
+    for part in parts:
         held = share(spark, Segment.build(part))
-        last = i == len(parts) - 1
-        keep_url = not last
 
-        def run(batches, held=held, keep_url=keep_url, last=last):
-            probe = Probe(shared(held))
+        def run(batches, held=held):
+            probe = _probe(held)
             for batch in batches:
-                for judged in _judge(iter([batch]), probe, lengths, default if last else ""):
-                    yield judged.append_column("__url", batch.column(batch.schema.names.index("__url"))) if keep_url else judged
+                for judged in _judge(iter([batch]), probe, lengths, ""):
+                    yield judged.append_column("__url", batch.column(batch.schema.names.index("__url"))).select(batch.schema.names)
 
-        step = T.StructType([*schema.fields, *([T.StructField("__url", T.StringType())] if keep_url else [])])
-        out = out.mapInArrow(run, step)
-        if not last:
-            out = out.withColumn("verdict", F.expr("nullif(verdict, '')"))
-    return out
+        out = out.mapInArrow(run, out.schema).withColumn("verdict", F.expr("nullif(verdict, '')"))
+    return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all pages; nulls, ties and repeats as in :func:`filter_urls`."""
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
