@@ -173,7 +173,9 @@ class Model:
 
 
 def fit_toxicity(training: DataFrame, *, text_col: str = "text", label_col: str = "toxic", width: int = 20_000, min_rows: int = 4, penalty: float = 1.0, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> Model:
-    """Learns from text and label (0, 1; other rows are left out) of a bounded table; of equal texts one counts.
+    """Learns from text and label (0, 1; other rows are left out) of a bounded table; of equal texts one counts, with label 1 if
+    any has it. The model is the same however the rows are dealt. Null texts are empty ones; without rows of either
+    label every text gets one low score.
 
     The ``width`` features that labels depend on most are chosen, with all identity terms, so that swaps can act on
     them. What reaches the driver are these features of the training texts.
@@ -181,7 +183,8 @@ def fit_toxicity(training: DataFrame, *, text_col: str = "text", label_col: str
     spark = training.sparkSession
     work = Workspace(spark, "toxicity")
     rows = training.select(F.col(label_col).cast("int").alias("label"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("label in (0, 1)")
-    rows = work.table(rows.withColumn("h", F.sha2("text", 256)).dropDuplicates(["h"]).select("label", "text"))
+    # Which of equal texts is taken doesn't matter, and of their labels 1 wins: so the model doesn't depend on how rows are dealt.
+    rows = work.table(rows.groupBy(F.sha2("text", 256).alias("h")).agg(F.max("label").alias("label"), F.first("text").alias("text")).select("label", "text"))
     n1, n0 = rows.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
     n1, n0 = (n1 or 0) + 1, (n0 or 0) + 1
     counts = rows.mapInArrow(_count, "feature int, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") + F.col("neg") >= min_rows)
@@ -204,14 +207,20 @@ def fit_toxicity(training: DataFrame, *, text_col: str = "text", label_col: str
 
 
 def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and score (0 to 1) of every whole text, rows one for one; null and empty texts get the score of no words."""
+    """The id and score (0 to 1) of every whole text, rows one for one, repeated ones and those with a null id too.
+
+    Null and empty texts get the score of no words; an empty table gives an empty result; other columns are not read.
+    """
     held = share(docs.sparkSession, model)
     slim = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     return slim.mapInArrow(lambda b: shared(held).score(b), T.StructType([*slim.drop("__text").schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns and in place: nothing is shuffled."""
+    """The rows of ``docs`` that score below ``threshold``, with all their columns, whatever these are called, and in place: nothing is shuffled.
+
+    Each row is judged by its own text, as in :func:`score_toxicity`.
+    """
     held = share(docs.sparkSession, model)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,11 +246,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFr
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str, max_rows: int = 20_000) -> Model:
+    """The model of the labelled documents that aren't held out, of at most ``max_rows`` ids."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return fit_toxicity(labelled_sample(docs, labels, max_rows))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; nulls, ties and repeats as in :func:`score_toxicity`."""
     model = toxicity_model(spark, sf_dir)
     scored = score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
