@@ -142,7 +142,7 @@ agpl-3.0 ~ 76 ~ agpl/agpl3/agplv3 ~ (?:gnu )?agpl(?:(?: v ?| version |v| )?3(?:
 gpl-2.0 ~ 77 ~ general ~ (?:gnu )?general public licen[cs]e v?(?:ersion )?2(?: 0)?
 gpl-3.0 ~ 77 ~ general ~ (?:gnu )?general public licen[cs]e v?(?:ersion )?3(?: 0)?
 gpl ~ 72 ~ general ~ gnu general public licen[cs]e
-gpl ~ 71 ~ general ~ gnu public licen[cs]e|general public licen[cs]e
+gpl ~ 71 ~ public+license/licence ~ gnu public licen[cs]e|general public licen[cs]e
 gpl-2.0 ~ 76 ~ gpl/gpl2/gpl3/gplv2/gplv3 ~ (?:gnu )?gpl(?: v| version )? ?2(?: 0)?(?: only| or later)?|gplv2
 gpl-3.0 ~ 76 ~ gpl/gpl2/gpl3/gplv2/gplv3 ~ (?:gnu )?gpl(?: v| version )? ?3(?: 0)?(?: only| or later)?|gplv3
 gpl ~ 70 ~ gpl/gpl2/gpl3/gplv2/gplv3 ~ gnu gpl|gpl licen[cs]ed?
