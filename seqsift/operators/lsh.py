@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqsift.model import Distance, QuerySpec
+from seqsift.model import Distance, QuerySpec, SeqSiftError
 from seqsift.operators.refine import allowed_tracks
 from seqsift.operators.shingles import shingles
 
@@ -132,6 +132,16 @@ class Index:
         self.hashed(vectors).write.mode("append").partitionBy("table_id").parquet(f"{self.path}/buckets")
         self.vectors = self.vectors.unionByName(vectors)
 
+    def merge(self, other: Index) -> None:
+        """Adds another index's buckets. Both were built with the same parameters, over tracks of different numbers."""
+        own, its = ((x.family, x.length, x.radius, x.normed) for x in (self, other))
+        if own != its:
+            raise SeqSiftError("indexes of different parameters can't be merged")
+        if not self.buckets().select("track_id").distinct().join(other.buckets().select("track_id").distinct(), "track_id").isEmpty():
+            raise SeqSiftError("both indexes have vectors of one track")
+        other.buckets().write.mode("append").partitionBy("table_id").parquet(f"{self.path}/buckets")
+        self.vectors = self.vectors.unionByName(other.vectors)
+
     def buckets(self) -> DataFrame:
         return self.spark.read.schema("bucket long, track_id int, pos int, table_id int").parquet(f"{self.path}/buckets")
 
@@ -163,3 +173,36 @@ class Index:
         """For each table: points, buckets, their mean and largest size."""
         sizes = self.buckets().groupBy("table_id", "bucket").agg(F.count("*").alias("n"))
         return sizes.groupBy("table_id").agg(F.sum("n").alias("points"), F.count("*").alias("buckets"), F.avg("n").alias("mean_size"), F.max("n").alias("max_size"))
+
+
+class Catalog:
+    """The indexes of one collection, in folders named by radius, length and kind: a query finds its index by itself.
+
+    An index that was found is kept, so that a run of like queries reads its parameters once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._kept: dict[str, Index] = {}
+
+    def folder(self, radius: float, length: int, normed: bool) -> str:
+        return f"{self.path}/lsh.{radius:019.9f}.{length}.{'normed' if normed else 'plain'}"
+
+    def build(self, vectors: DataFrame, *, radius: float, length: int, normed: bool, **options) -> Index:
+        made = Index.build(vectors, self.folder(radius, length, normed), length=length, radius=radius, normed=normed, **options)
+        self._kept[made.path] = made
+        return made
+
+    def find(self, vectors: DataFrame, spec: QuerySpec) -> Index | None:
+        """The index that serves a query, if it was built."""
+        radius = spec.refine.radius
+        if radius is None or spec.params.distance not in (Distance.NORMED, Distance.EUCLIDEAN):
+            return None
+        path = self.folder(radius, spec.qid.length, spec.params.distance is Distance.NORMED)
+        if path not in self._kept:
+            there = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/params/_SUCCESS")
+            if not there.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(there):
+                return None
+            self._kept[path] = Index.load(self.spark, path, vectors)
+        self._kept[path].vectors = vectors
+        return self._kept[path]

@@ -62,6 +62,19 @@ def shingles(vectors: DataFrame, length: int, *, power: bool = False, dim: int |
     return out.select("track_id", "key", "pos", "sh", F.sqrt(squared_norm(F.col("sh"), n)).alias("norm"), *(["pow"] if power else []))
 
 
+def scaled(sh: DataFrame, radius: float, normed: bool) -> DataFrame:
+    """Adds ``scaled`` to shingles (sh, norm): times 1 / sqrt(radius), and of unit length before that if ``normed``; null where the norm is 0 then."""
+    by = F.lit(radius**0.5) * F.col("norm") if normed else F.lit(radius**0.5)
+    factor = F.try_divide(F.lit(1.0), by)
+    return sh.withColumn("scaled", F.when(factor.isNotNull(), F.transform("sh", lambda x: x * factor)))
+
+
+def loud_enough(sh: DataFrame, threshold: float) -> DataFrame:
+    """One row: how many shingles there are, and how many of them have a mean power (pow) of at least the threshold; null without powers."""
+    loud = F.count(F.when(F.col("pow") >= threshold, 1)) if "pow" in sh.columns else F.lit(None).cast("long")
+    return sh.agg(F.count("*").alias("shingles"), loud.alias("loud"))
+
+
 def mean_durations(vectors: DataFrame) -> DataFrame:
     """track_id and the mean of its own intervals' lengths."""
     return vectors.groupBy("track_id").agg(F.avg(F.col("t_end") - F.col("t_start")).alias("duration"))

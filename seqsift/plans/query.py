@@ -92,14 +92,17 @@ class Query:
         return self.measured(self.target_shingles().crossJoin(self.query_shingles()))
 
 
-def search(vectors: DataFrame, datum: DataFrame, spec: QuerySpec, *, index=None, sofar: DataFrame | None = None, dim: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, datum: DataFrame, spec: QuerySpec, *, index=None, catalog=None, sofar: DataFrame | None = None, dim: int | None = None) -> DataFrame:
     """Answers a query: track_id, qkey, ikey, qpos, ipos, dist, rank (and track_rank), best first by rank.
 
     With an index that fits the radius, length and distance, candidates come from it and are measured exactly
-    afterwards (or returned as they are if false positives are allowed); otherwise every alignment is measured.
+    afterwards (or returned as they are if false positives are allowed); otherwise every alignment is measured. A
+    catalog is asked for such an index.
     ``sofar`` has results of an earlier query that compete with the new ones.
     """
     q = Query(vectors, datum, spec, dim)
+    if index is None and catalog is not None:
+        index = catalog.find(vectors, spec)
     if index is not None and index.serves(spec):
         points = index.approximate(q) if spec.qid.allow_false_positives else index.points(q)
     else:

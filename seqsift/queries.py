@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqsift.functions.vectors import dot
-from seqsift.model import Accumulation, Distance, Params, QueryId, QuerySpec, Refine
+from seqsift.model import Accumulation, Distance, Params, QueryId, QuerySpec, Refine, SeqSiftError
 from seqsift.operators import sample as sampling
-from seqsift.operators.lsh import Index
-from seqsift.operators.shingles import mean_durations, prefix_sums, shingles, sliding, tracks, with_norms
+from seqsift.operators.lsh import Catalog, Index
+from seqsift.operators.shingles import loud_enough, mean_durations, prefix_sums, scaled, shingles, sliding, tracks, with_norms
 from seqsift.plans import adapters as A
-from seqsift.plans.query import matched_filter, search, sequence_query
+from seqsift.plans.query import matched_filter, search, sequence_query, track_datum
 from seqsift.sources.collection import Collection, global_ids, status
 
 # --- tables as tracks, in SQL
@@ -188,8 +188,16 @@ def _list_tracks(spark, d):
     return tracks(A.events(spark, d)).orderBy("track_id").select("key", F.col("nvectors").cast("long").alias("nvectors"))
 
 
+def _stored(spark, d) -> Collection:
+    """All events in a collection."""
+    made = Collection.create(spark, _folder(spark))
+    made.enable_power()
+    made.insert(A.events(spark, d).withColumn("ord", F.col("track_id")))
+    return made
+
+
 def _retrieve(spark, d):
-    return A.head(A.events(spark, d), "3").orderBy("pos").select("key", F.col("pos").cast("long").alias("pos"), F.col("vec")[0].alias("v0"), F.round("power", 6).alias("power"), "t_start", "t_end")
+    return _stored(spark, d).retrieve("3").select("key", F.col("pos").cast("long").alias("pos"), F.col("vec")[0].alias("v0"), F.round("power", 6).alias("power"), "t_start", "t_end")
 
 
 def _offsets(spark, d):
@@ -204,9 +212,11 @@ def _global_ids(spark, d):
 def _dedup_keys(spark, d):
     """A batch in which keys come again: the first of each counts."""
     v = A.events(spark, d).withColumn("ord", F.col("track_id")).withColumn("key", (F.col("track_id") % 7).cast("string"))
-    heads = v.groupBy("key", "ord").agg(F.count("*").alias("nvectors"))
-    first = heads.groupBy("key").agg(F.min("ord").alias("ord"))
-    return heads.join(first, ["key", "ord"]).select("key", F.col("ord").cast("long").alias("ord"), "nvectors")
+    made = Collection.create(spark, _folder(spark))
+    made.enable_power()
+    made.insert_new(v)
+    kept = made.vectors().groupBy("key").agg(F.count("*").alias("nvectors"), F.round(F.sum(F.col("vec")[0]), 4).alias("total"))
+    return kept
 
 
 def _l2norm(spark, d):
@@ -241,8 +251,12 @@ def _shingles(spark, d):
 
 def _scaled(spark, d):
     """Shingles of unit length, scaled for an index of radius 0.5."""
-    sh = shingles(A.lineitems(spark, d), 2, dim=3)
-    return sh.select("key", F.col("pos").cast("long").alias("pos"), *(F.round(F.try_divide(F.col("sh")[i], F.col("norm") * (0.5**0.5)), 6).alias(f"s{i}") for i in (0, 3)))
+    sh = scaled(shingles(A.lineitems(spark, d), 2, dim=3), 0.5, True)
+    return sh.select("key", F.col("pos").cast("long").alias("pos"), *(F.round(F.col("scaled")[i], 6).alias(f"s{i}") for i in (0, 3)))
+
+
+def _loud(spark, d):
+    return loud_enough(shingles(A.lineitems(spark, d), 5, power=True, dim=3), 4.45)
 
 
 _SEQ = _case(EVENTS, track_head("3", 8), NORMED, P, length=8, npoints=3, ntracks=10, **_NOT3)
@@ -286,7 +300,10 @@ def _folder(spark: SparkSession) -> str:
     """The shared folder on a cluster, a temporary one elsewhere."""
     import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='seqsift-')}"
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise SeqSiftError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or f"file://{tempfile.mkdtemp(prefix='seqsift-')}"
     return f"{base.rstrip('/')}/seqsift/{uuid.uuid4().hex}"
 
 
@@ -317,6 +334,30 @@ def _lsh_candidates(spark, d):
     return _shown(search(v, A.embedding(spark, d, 0), spec, index=index, dim=64))
 
 
+def _by_key(spark, d):
+    """The query is a stored track, named by its key."""
+    v, c = A.events(spark, d), CASES["query_by_key_ev"]
+    return _shown(search(v, track_datum(v, "5"), c.spec, dim=1))
+
+
+def _by_reference(spark, d):
+    """All events as track files that a collection refers to, searched where they lie."""
+    out = _folder(spark)
+    written = _stored(spark, d).dump(out)
+    made = Collection.create(spark, _folder(spark), by_reference=True)
+    made.enable_power()
+    made.insert_references([{"key": r.key} | {k: f"{out}/{r.track_id:05d}.{e}" for k, e in (("features", "features"), ("power", "power"), ("times", "times"))} for r in written.toLocalIterator()])
+    v, c = made.vectors(), CASES["seq_euclid_ev_sl8"]
+    return _shown(search(v, A.head(v, "3", 8), c.spec, dim=1))
+
+
+def _catalog(spark, d):
+    """The index is found by the query's radius, length and distance; its cells are so wide that answers are exact."""
+    v, catalog = A.embeddings(spark, d), Catalog(spark, _folder(spark))
+    catalog.build(v, radius=0.9, length=1, normed=True, k=1, tables=2, w=1e6)
+    return _shown(search(v, A.embedding(spark, d, 0), _LSH.spec, catalog=Catalog(spark, catalog.path), dim=64))
+
+
 def _lsh_statistics(spark, d):
     return _index(spark, d, k=4, tables=8, w=2.0)[1].statistics()
 
@@ -331,11 +372,8 @@ def _sample_query(spark, d):
 
 def roundtrip(spark, d):
     """All tracks into a collection, out to track files, and back into another one."""
-    first = Collection.create(spark, _folder(spark))
-    first.enable_power()
-    first.insert(A.events(spark, d).withColumn("ord", F.col("track_id")))
     out = _folder(spark)
-    first.dump(out)
+    _stored(spark, d).dump(out)
     return Collection.restore(spark, out, _folder(spark)).vectors()
 
 
@@ -353,13 +391,17 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "retrieve_track_ev": (_retrieve, f"WITH v AS ({_EVENTS}) SELECT key, pos::BIGINT AS pos, vec[1] AS v0, round(power, 6) AS power, t_start, t_end FROM v WHERE key = '3'"),
     "track_offsets_li": (_offsets, f"WITH v AS ({_LI}), n AS (SELECT track_id, key, count(*) AS nvectors FROM v GROUP BY ALL) SELECT key, nvectors, coalesce(sum(nvectors) OVER (ORDER BY track_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM n"),
     "global_ids_ev": (_global_ids, f"WITH v AS ({_EVENTS}) SELECT key, pos::BIGINT AS pos, row_number() OVER (ORDER BY track_id, pos) - 1 AS vector_id FROM v"),
-    "dedup_keys_batch": (_dedup_keys, "WITH n AS (SELECT user_id AS ord, (user_id % 7)::VARCHAR AS key, count(*) AS nvectors FROM events GROUP BY ALL) SELECT key, ord, nvectors FROM n QUALIFY row_number() OVER (PARTITION BY key ORDER BY ord) = 1"),
+    "dedup_keys_batch": (_dedup_keys, "WITH n AS (SELECT user_id AS ord, (user_id % 7)::VARCHAR AS key, count(*) AS nvectors, round(sum(value), 4) AS total FROM events GROUP BY ALL) SELECT key, nvectors, total FROM n QUALIFY row_number() OVER (PARTITION BY key ORDER BY ord) = 1"),
     "l2norm_emb": (_l2norm, f"WITH v AS ({_EMB}) SELECT key, pos::BIGINT AS pos, round(list_dot_product(vec, vec), 6) AS n2 FROM v"),
     "dot_product_li": (_dot_self, f"WITH v AS ({_LI}) SELECT key, pos::BIGINT AS pos, round(vec[1] + vec[2] * 2 + vec[3] * 3, 6) AS dot FROM v"),
     "seq_norm_ev": (_seq_norm, f"WITH v AS ({_EVENTS}) SELECT key, pos::BIGINT AS pos, round(sqrt(sum(vec[1] * vec[1]) OVER w), 6) AS norm {_windowed.format(7, 8)}"),
     "seq_mean_power_li": (_seq_power, f"WITH v AS ({_LI}) SELECT key, pos::BIGINT AS pos, round(avg(power) OVER w, 6) AS pow {_windowed.format(4, 5)}"),
     "sliding_sum_ev": (_sliding_sum, f"WITH v AS ({_EVENTS}) SELECT key, pos::BIGINT AS pos, round(sum(vec[1]) OVER w, 6) AS total {_windowed.format(4, 5)}"),
     "mean_duration_ev": (_durations, f"WITH v AS ({_EVENTS}) SELECT key, round(avg(t_end - t_start), 3) AS duration FROM v GROUP BY key"),
+    "loud_shingles_li": (_loud, f"WITH v AS ({_LI}), s AS (SELECT avg(power) OVER w AS pow {_windowed.format(4, 5)}) SELECT count(*) AS shingles, count(*) FILTER (pow >= 4.45) AS loud FROM s"),
+    "query_by_key_stored_ev": (_by_key, CASES["query_by_key_ev"].sql),
+    "by_reference_ev": (_by_reference, CASES["seq_euclid_ev_sl8"].sql),
+    "catalog_exact_emb": (_catalog, _LSH.sql),
     "shingles_ev": (_shingles, f"WITH v AS ({_EVENTS}) SELECT key, pos::BIGINT AS pos, round(vec[1], 6) AS s0, round((lead(vec, 1) OVER w)[1], 6) AS s1, round((lead(vec, 2) OVER w)[1], 6) AS s2 FROM v WINDOW w AS (PARTITION BY track_id ORDER BY pos) QUALIFY lead(pos, 2) OVER w IS NOT NULL"),
     "scaled_shingles_li": (_scaled, f"WITH v AS ({_LI}), s AS (SELECT key, pos, flatten(array_agg(vec) OVER w) AS sh {_windowed.format(1, 2)}) SELECT key, pos::BIGINT AS pos, round(sh[1] / (sqrt(list_dot_product(sh, sh)) * sqrt(0.5)), 6) AS s0, round(sh[4] / (sqrt(list_dot_product(sh, sh)) * sqrt(0.5)), 6) AS s3 FROM s"),
     "seq_track_means_ev": (_seq_means, f"WITH r AS ({_search_sql(EVENTS, _SEQ.datum.sql, _SEQ.spec).replace('round(dist, 6) + 0.0 AS dist', 'mean_dist')}) SELECT DISTINCT ikey, round(mean_dist, 6) AS mean_dist, track_rank FROM r"),

@@ -14,6 +14,7 @@ from seqsift.operators.shingles import tracks as count_tracks
 from seqsift.sources import files
 
 VERSION = 1
+_REFERENCES = "track_id int, key string, features string, power string, times string"
 #: Tracks with fewer vectors than this are counted as too short to be of use.
 DUD = 16
 
@@ -34,11 +35,12 @@ class Collection:
     # --- life cycle
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str) -> Collection:
+    def create(cls, spark: SparkSession, path: str, by_reference: bool = False) -> Collection:
+        """A new, empty collection, of vectors or (``by_reference``) of the paths of track files."""
         made = cls(spark, path, True)
         if made._fs.exists(made._home):
             raise SeqSiftError(f"{path} exists")
-        made._commit({"format": "seqsift", "version": VERSION, "dim": 0, "power": False, "times": None, "norms": False, "batches": [], "tracks": 0}, 0)
+        made._commit({"format": "seqsift", "version": VERSION, "dim": 0, "power": False, "times": None, "norms": False, "batches": [], "tracks": 0, "by_reference": by_reference}, 0)
         return made
 
     @classmethod
@@ -99,10 +101,18 @@ class Collection:
 
     # --- reading
 
+    def references(self) -> DataFrame:
+        """track_id, key, and the files (features, power, times) of tracks that are kept by reference."""
+        return self.spark.read.schema(_REFERENCES).parquet(*(f"{self.path}/references/{b}" for b in self.meta["batches"]))
+
     def vectors(self) -> DataFrame:
+        """All vectors. Those kept by reference are read from their files whenever a plan asks for them."""
         meta = self.meta
         if not meta["batches"]:
             return self.spark.createDataFrame([], VECTORS)
+        if meta.get("by_reference"):
+            rows = files.read_referenced(self.spark, self.references(), meta["power"], bool(meta["times"])).select(*VECTORS.names)
+            return rows.withColumn("n2", squared_norm(F.col("vec"), meta["dim"])) if meta["norms"] else rows
         rows = self.spark.read.schema(VECTORS).parquet(*(f"{self.path}/vectors/{b}" for b in meta["batches"]))
         return rows.withColumn("n2", squared_norm(F.col("vec"), meta["dim"])) if meta["norms"] else rows
 
@@ -141,6 +151,8 @@ class Collection:
 
     def _append(self, rows: DataFrame, skip: bool) -> int:
         meta = self._writing()
+        if meta.get("by_reference"):
+            raise SeqSiftError("the collection keeps references, not vectors")
         for name, kind in (("power", "double"), ("t_start", "double"), ("t_end", "double")):
             if name not in rows.columns:
                 rows = rows.withColumn(name, F.lit(None).cast(kind))
@@ -155,9 +167,8 @@ class Collection:
         elif not known.isEmpty() or not heads.groupBy("key").count().where("count > 1").isEmpty():
             raise DuplicateKeyError("a key is there already")
         # Track numbers go on from the last, in order of ord and key.
-        buckets = heads.withColumn("one", F.lit(1)).withColumn("__rank", F.row_number().over(_by_order()))
-        numbered = buckets.select("key", "ord", "nvectors", (F.col("__rank") - 1 + meta["tracks"]).cast("int").alias("track_id"))
         batch = f"{self._newest() + 1:08d}"
+        numbered = _numbered(self.spark, heads, f"{self.path}/heads/{batch}").select("key", "ord", "nvectors", (F.col("number") + meta["tracks"]).cast("int").alias("track_id"))
         numbered.select("track_id", "key", "nvectors").write.mode("overwrite").parquet(f"{self.path}/tracks/{batch}")
         made = self.spark.read.schema("track_id int, key string, nvectors int").parquet(f"{self.path}/tracks/{batch}")
         chosen = rows.join(numbered.select("key", "ord"), ["key", "ord"], "left_semi").join(made.select("key", "track_id"), "key")
@@ -183,6 +194,48 @@ class Collection:
         if f.places != f.n:
             raise SeqSiftError("a position comes twice in a track")
 
+    def insert_references(self, items: list[dict]) -> int:
+        """Registers tracks by the paths of their files, which stay where they are; keys that are there, or come again, are passed over. Returns how many were added.
+
+        Only a collection that was created for it keeps references. Relative paths are made absolute; sizes come from
+        the files' own sizes and first bytes.
+        """
+        meta = self._writing()
+        if not meta.get("by_reference"):
+            raise SeqSiftError("the collection keeps vectors, not references")
+        if any(("power" in i) != meta["power"] for i in items):
+            raise SeqSiftError("all tracks have power or none has")
+        timed = {"times" in i for i in items}
+        if len(timed) > 1 or (timed and meta["times"] is not None and timed != {meta["times"]}):
+            raise SeqSiftError("all tracks have times or none has")
+        first: dict[str, dict] = {}
+        for i in items:
+            first.setdefault(i.get("key") or i["features"], {k: files.absolute(v) for k, v in i.items() if k != "key"})
+        here = {r.key for r in self.tracks().where(F.col("key").isin(list(first))).select("key").collect()}
+        new = [(key, i) for key, i in first.items() if key not in here]
+        if not new:
+            return 0
+        sizes = files.sizes(self.spark, [i["features"] for _, i in new])
+        if len({dim for dim, _ in sizes.values()} | ({meta["dim"]} if meta["dim"] else set())) > 1:
+            raise SeqSiftError("vectors differ in dimension")
+        batch, n = f"{self._newest() + 1:08d}", meta["tracks"]
+        rows = [(n + k, key, i["features"], i.get("power"), i.get("times")) for k, (key, i) in enumerate(new)]
+        self.spark.createDataFrame(rows, _REFERENCES).write.mode("overwrite").parquet(f"{self.path}/references/{batch}")
+        self.spark.createDataFrame([(r[0], r[1], sizes[r[2]][1]) for r in rows], "track_id int, key string, nvectors int").write.mode("overwrite").parquet(f"{self.path}/tracks/{batch}")
+        self._commit(meta | {"dim": next(iter(sizes.values()))[0], "times": timed.pop() if meta["times"] is None else meta["times"], "batches": [*meta["batches"], batch], "tracks": n + len(new)})
+        return len(new)
+
+    def insert_batch(self, items: list[DataFrame | dict]) -> int:
+        """Adds tracks one after another, from rows or from files. At the first error it stops and raises; what came before
+        remains. Files whose key is there are passed over. Returns how many were added."""
+        before = self._writing()["tracks"]
+        for item in items:
+            if isinstance(item, dict):
+                (self.insert_references if self.meta.get("by_reference") else self.insert_files)([item])
+            else:
+                self.insert(item)
+        return self.meta["tracks"] - before
+
     def insert_files(self, items: list[dict]) -> int:
         """Adds tracks from files (features, and power, times, key if any). Keys that are there are passed over; returns how many were added."""
         return self.insert_new(files.read_tracks(self.spark, items))
@@ -201,9 +254,18 @@ class Collection:
         meta = self.meta
         written = files.write_track_files(self.vectors().select(*VECTORS.names), uri, meta["power"], bool(meta["times"]))
         written.write.parquet(f"{uri}/list")
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(home, "meta.json"), False)
-        out.write(bytearray(json.dumps({k: meta[k] for k in ("power", "times", "norms")}).encode()))
-        out.close()
+        def put(name: str, lines) -> None:
+            out = fs.create(jvm.org.apache.hadoop.fs.Path(home, name), False)
+            for line in lines:
+                out.write(bytearray(line.encode()))
+            out.close()
+
+        put("meta.json", [json.dumps({k: meta[k] for k in ("power", "times", "norms")})])
+        listed = self.spark.read.parquet(f"{uri}/list").orderBy("track_id").select("track_id", "key")
+        for name, ending in (("featureList.txt", "features"), ("timesList.txt", "times"), ("powerList.txt", "power"), ("keyList.txt", None)):
+            if ending == "features" or ending is None or meta[ending]:
+                put(name, (f"{r.key}\n" if ending is None else f"{r.track_id:05d}.{ending}\n" for r in listed.toLocalIterator()))
+        put("restore.sh", ["#!/bin/sh\n# Makes a new collection of these files: restore.sh FOLDER\n", 'exec python -m seqsift.sources.restore "$(dirname "$0")" "$1"\n'])
         return self.spark.read.parquet(f"{uri}/list").orderBy("track_id")
 
     @classmethod
@@ -224,10 +286,18 @@ class Collection:
         return made
 
 
-def _by_order():
+def _numbered(spark: SparkSession, heads: DataFrame, path: str) -> DataFrame:
+    """Adds number, from 0, in order of ord and key: ranges are ranked by themselves, after the rows in the ranges before."""
     from pyspark.sql import Window
 
-    return Window.orderBy("ord", "key")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    heads.repartitionByRange(n, "ord", "key").sortWithinPartitions("ord", "key").withColumn("__part", F.spark_partition_id()).write.mode("overwrite").partitionBy("__part").parquet(path)
+    dealt = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in heads.schema.fields)}, __part int").parquet(path)
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("size"))
+    # One row for each range.
+    before = sizes.select("__part", F.coalesce(F.sum("size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy("ord", "key"))
+    return dealt.join(F.broadcast(before), "__part").withColumn("number", rank - 1 + F.col("before")).drop("__part", "before")
 
 
 def status(tracks: DataFrame, meta: dict) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,45 @@ def read_matrix(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(rows, "path string, pos int, vec array<double>")
 
 
+def absolute(path: str) -> str:
+    """A path that means the same wherever it is read."""
+    return path if "://" in path or path.startswith(("/", "file:")) else os.path.abspath(path)
+
+
+def sizes(spark: SparkSession, paths: list[str]) -> dict[str, tuple[int, int]]:
+    """Dimension and number of vectors of feature files, from their lengths and first bytes only; as many rows reach the driver as paths."""
+    jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), {}
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(conf)
+        if not fs.exists(where):
+            raise SeqSiftError(f"{path} isn't there")
+        length, stream = fs.getFileStatus(where).getLen(), fs.open(where)
+        try:
+            raw = bytes(stream.read() & 0xFF for _ in range(4)) if length >= 4 else b""
+        finally:
+            stream.close()
+        dim = int(np.frombuffer(raw, np.uint32)[0]) if raw else 0
+        if dim < 1 or (length - 4) % (8 * dim):
+            raise SeqSiftError(f"{path} isn't made of vectors of {dim} doubles")
+        out[path] = dim, (length - 4) // (8 * dim)
+    return out
+
+
+def read_referenced(spark: SparkSession, references: DataFrame, has_power: bool, has_times: bool) -> DataFrame:
+    """The vectors of registered tracks, read by the tasks that need them: a key's filter goes below, so only its files are opened."""
+    from .reference import load
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                yield from load(r.track_id, r.key, r.features, r.power if has_power else None, r.times if has_times else None)
+
+    # A row is a path: tracks are dealt out evenly whatever their files' sizes.
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return references.repartition(n, "track_id").mapInPandas(rows, "track_id int, key string, pos int, vec array<double>, power double, t_start double, t_end double")
+
+
 def read_powers(spark: SparkSession, paths: list[str]) -> DataFrame:
     """path, pos, power: a features file of dimension 1."""
     return read_matrix(spark, paths).select("path", "pos", F.when(F.size("vec") == 1, F.col("vec")[0]).otherwise(F.raise_error(F.lit("a power file has dimension 1"))).alias("power"))

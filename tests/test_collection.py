@@ -3,12 +3,13 @@ import math
 import numpy as np
 import pytest
 from helpers import datum, points, tracks
+from pyspark.sql import functions as F
 
 from seqsift import queries
 from seqsift.model import Accumulation, Distance, DuplicateKeyError, Params, QueryId, QuerySpec, Refine, SeqSiftError
-from seqsift.operators.lsh import Family, Index, probes
+from seqsift.operators.lsh import Catalog, Family, Index, probes
 from seqsift.operators.sample import estimate_radius, sample_distances
-from seqsift.operators.shingles import prefix_sums, shingles, sliding
+from seqsift.operators.shingles import loud_enough, prefix_sums, scaled, shingles, sliding
 from seqsift.plans import adapters as A
 from seqsift.plans.query import search
 from seqsift.sources.collection import Collection, global_ids, locate
@@ -189,3 +190,78 @@ def test_round_trip_of_all_events(spark):
     d = "/root/testdata/sf0.001"
     shown = lambda v: sorted((r.key, r.pos, r.vec[0], round(r.power, 6), round(r.t_start, 3), round(r.t_end, 3)) for r in v.collect())
     assert shown(queries.roundtrip(spark, d)) == shown(A.events(spark, d))
+
+
+def test_tracks_by_reference(spark, tmp_path):
+    made = Collection.create(spark, f"file://{tmp_path}/kept")
+    made.enable_power()
+    made.insert(tracks(spark, {"a": [(0, 1), (1, 0), (1, 1)], "b": [(2, 2)]}, powers={"a": [-1, -2, -3], "b": [-4]}, times={"a": [(0, 1), (1, 2), (2, 4)], "b": [(0, 3)]}).withColumn("ord", F.col("track_id")))
+    made.dump(f"{tmp_path}/out")
+    listed = {n: (tmp_path / "out" / n).read_text().split() for n in ("featureList.txt", "timesList.txt", "powerList.txt", "keyList.txt")}
+    assert listed == {"featureList.txt": ["00000.features", "00001.features"], "timesList.txt": ["00000.times", "00001.times"], "powerList.txt": ["00000.power", "00001.power"], "keyList.txt": ["a", "b"]}
+    assert "seqsift.sources.restore" in (tmp_path / "out" / "restore.sh").read_text()
+    item = lambda n, key: {"key": key} | {k: f"{tmp_path}/out/{n:05d}.{k}" for k in ("features", "power", "times")}
+    refs = Collection.create(spark, f"file://{tmp_path}/refs", by_reference=True)
+    refs.enable_power()
+    assert refs.insert_references([item(0, "a"), item(1, "b"), item(1, "a")]) == 2 and refs.insert_references([item(1, "b")]) == 0
+    columns = ["key", "pos", "vec", "power", "t_start", "t_end"]
+    same = lambda c: sorted(map(tuple, c.vectors().select(*columns).collect()))
+    assert same(refs) == same(made) and refs.listing().collect() == made.listing().collect()
+    assert [r.vec for r in refs.retrieve("b").collect()] == [[2.0, 2.0]]
+    (tmp_path / "three.features").write_bytes(np.array([3], np.uint32).tobytes() + np.zeros(3).tobytes())
+    for bad in ([{"features": f"{tmp_path}/out/00000.features"}], [item(0, "c") | {"features": f"{tmp_path}/none"}], [item(0, "c") | {"features": f"{tmp_path}/three.features"}]):
+        with pytest.raises(SeqSiftError):
+            refs.insert_references(bad)
+    with pytest.raises(SeqSiftError):
+        refs.insert(tracks(spark, {"z": [(0, 1)]}))
+    with pytest.raises(SeqSiftError):
+        made.insert_references([item(0, "c")])
+
+
+def test_a_batch_stops_at_its_first_error(spark, tmp_path):
+    made = Collection.create(spark, f"file://{tmp_path}/c")
+    one = lambda key, vec=(0, 1): tracks(spark, {key: [vec]})
+    with pytest.raises(SeqSiftError):
+        made.insert_batch([one("a"), one("b"), one("a"), one("c")])
+    assert [r.key for r in made.listing().collect()] == ["a", "b"]
+    assert made.insert_batch([one("c"), one("d")]) == 2
+    with pytest.raises(SeqSiftError):
+        made.insert_batch([one("e", (0, 1, 2)), one("f")])
+    assert made.tracks().count() == 4
+
+
+def test_numbers_follow_the_order_over_ranges(spark, tmp_path):
+    made = Collection.create(spark, f"file://{tmp_path}/c")
+    rows = spark.createDataFrame([(999 - i, f"k{i:03d}", 0, [1.0]) for i in range(200)], "ord int, key string, pos int, vec array<double>")
+    made.insert(rows.repartition(7))
+    made.insert(spark.createDataFrame([(0, "x", 0, [1.0])], rows.schema))
+    assert [r.key for r in made.listing().collect()] == [f"k{i:03d}" for i in reversed(range(200))] + ["x"]
+    assert sorted(r.track_id for r in made.tracks().collect()) == list(range(201))
+
+
+def test_indexes_are_found_and_merged(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    data = {f"t{i}": rng.normal(size=(6, 3)).tolist() for i in range(8)}
+    rows = tracks(spark, data)
+    low, high = rows.where("track_id < 4"), rows.where("track_id >= 4")
+    catalog = Catalog(spark, f"file://{tmp_path}/lsh")
+    first = catalog.build(low, radius=0.5, length=2, normed=True, k=2, tables=4, w=1e6)
+    other = Index.build(high, f"file://{tmp_path}/other", radius=0.5, length=2, normed=True, k=2, tables=4, w=1e6)
+    with pytest.raises(SeqSiftError):
+        first.merge(Index.build(high, f"file://{tmp_path}/bad", radius=0.5, length=2, normed=True, k=3, tables=4, w=1e6))
+    with pytest.raises(SeqSiftError):
+        first.merge(first)
+    first.merge(other)
+    asked = datum(spark, data["t1"][:2])
+    spec = QuerySpec(QueryId(2), Params(Distance.NORMED, Accumulation.DB, 50), Refine(radius=0.5))
+    found = Catalog(spark, f"file://{tmp_path}/lsh")
+    assert found.find(rows, spec) is found.find(rows, spec) is not None
+    assert found.find(rows, QuerySpec(QueryId(3), spec.params, spec.refine)) is None and found.find(rows, QuerySpec(QueryId(2), spec.params, Refine())) is None
+    assert points(search(rows, asked, spec, catalog=found)) == points(search(rows, asked, spec))
+
+
+def test_scaling_and_loudness(spark):
+    sh = shingles(tracks(spark, {"a": [(3, 4), (0, 0), (0, 2)]}, powers={"a": [-1, -2, -5]}), 1, power=True, dim=2)
+    assert [r.scaled for r in scaled(sh, 4.0, True).orderBy("pos").collect()] == [[pytest.approx(0.3), pytest.approx(0.4)], None, [0.0, 0.5]]
+    assert [r.scaled for r in scaled(sh, 4.0, False).orderBy("pos").collect()] == [[1.5, 2.0], [0.0, 0.0], [0.0, 1.0]]
+    assert tuple(loud_enough(sh, -2).first()) == (3, 2) and tuple(loud_enough(sh.drop("pow"), -2).first()) == (3, None)
