@@ -120,6 +120,16 @@ class Model:
     weights: np.ndarray
     bias: float
 
+    def __getstate__(self) -> tuple:
+        """Of all slots only those in use are sent."""
+        at = np.flatnonzero(self.slots >= 0)
+        return at, self.slots[at], self.weights, self.bias
+
+    def __setstate__(self, state: tuple) -> None:
+        at, own, self.weights, self.bias = state
+        self.slots = np.full(1 << BITS, -1, np.int32)
+        self.slots[at] = own
+
     @staticmethod
     def fit(rows: list[tuple[int, bytes, list[bytes]]], slots: np.ndarray, width: int, penalty: float, ridge: float = 2e-6, steps: int = 400) -> Model:
         """Logistic loss + ridge + penalty x mean squared change of the log-odds under swaps, by Adam on all rows."""
@@ -195,8 +205,9 @@ def fit_toxicity(training: DataFrame, *, text_col: str = "text", label_col: str
     best = list(dict.fromkeys(best))
     slots = np.full(1 << BITS, -1, np.int32)
     slots[best] = np.arange(len(best))
-    held = spark.sparkContext.broadcast(slots)
-    coded = rows.mapInArrow(lambda b: _encode(b, held.value, terms), "label int, own binary, swaps array<binary>").collect()
+    held = share(spark, Model(slots, np.zeros(0), 0.0))
+    coded = rows.mapInArrow(lambda b: _encode(b, shared(held).slots, terms), "label int, own binary, swaps array<binary>").collect()
+    held.destroy()
     work.drop(rows)
     coded = sorted((r.label, bytes(r.own), [bytes(s) for s in r.swaps]) for r in coded)
     rest = [r for i, r in enumerate(coded) if i % 3 == 0]

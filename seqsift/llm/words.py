@@ -18,7 +18,6 @@ PUNCTUATION[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(
 #: Words are polynomials of their bytes, modulo 2**64 and modulo a prime: where words collide in one, as strings made for it can in the first, they differ in the other.
 _BASE = 0x9E3779B97F4A7C15
 _PRIME, _PRIME_BASE = (1 << 31) - 1, 1_486_310_507
-_powers = {"n": 0}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,23 +39,35 @@ def _powers_mod(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    if _powers["n"] < n:
-        size = max(n, 1 << 20)
+class _Powers:
+    """Powers up to the longest data seen; they aren't sent along with functions, as each worker soon has its own."""
+
+    def __init__(self):
+        self.n, self.tables = 0, None
+
+    def __reduce__(self):
+        return _Powers, ()
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        if self.n >= n:
+            return self.tables
+        size = max(n, 1 << 18)
         up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         tables = np.multiply.accumulate(up), np.multiply.accumulate(down), _powers_mod(_PRIME_BASE, size), _powers_mod(pow(_PRIME_BASE, -1, _PRIME), size)
-        if size > 1 << 22:  # a very long text's tables go with it
-            return tables
-        _powers.update(n=size, tables=tables)
-    return _powers["tables"]
+        if size <= 1 << 22:  # a very long text's tables go with it
+            self.n, self.tables = size, tables
+        return tables
+
+
+_powers = _Powers()
 
 
 class RunHashes:
     """64-bit hashes of any runs of bytes in ``data``, A-Z lower-cased."""
 
     def __init__(self, data: np.ndarray):
-        self.up, self.down, self.prime_up, self.prime_down = _tables(len(data) + 1)
+        self.up, self.down, self.prime_up, self.prime_down = _powers.upto(len(data) + 1)
         low = _LOWER[data].astype(np.uint64) + np.uint64(1)
         self.sums, self.prime_sums = np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.uint64)
         np.cumsum(low * self.up[: len(data)], out=self.sums[1:])
