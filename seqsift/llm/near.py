@@ -20,7 +20,7 @@ TREES = 10
 #: Branches that a document takes at the first levels of a tree: 4 paths of 5 tokens in all. The nodes of a corpus are large there, so they are not counted.
 BRANCHES = (2, 2, 1, 1, 1)
 #: Branches at the levels below, which only nodes of over SMALL classes reach.
-DEEPER = (2, 1, 1)
+DEEPER = (1, 1)
 #: Nodes up to this size are compared exhaustively.
 SMALL = 16
 #: Pairs of one class that are checked together, and bytes of text that are.
@@ -313,7 +313,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     other columns are not read.
 
     Equal sets are one class. Ten independent trees branch each class by minwise tokens that the node selects: five
-    levels, and up to three more where a node has over 16 classes. Nodes of up to 16 are compared exhaustively; in those
+    levels, and up to two more where a node has over 16 classes. Nodes of up to 16 are compared exhaustively; in those
     that are large at the end, which hold copies of one text, all are compared with the most central one, and where that
     leaves more than one component, those outside the main one with all others, block by block. So a group of n copies
     costs about n comparisons and those that its outliers need, and no link that would join two components of a node is
