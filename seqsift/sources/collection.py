@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import uuid
+from itertools import batched
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,7 +159,16 @@ class Collection:
             if name not in rows.columns:
                 rows = rows.withColumn(name, F.lit(None).cast(kind))
         rows = rows if "ord" in rows.columns else rows.withColumn("ord", F.lit(0))
+        # Written once, as each step below reads them and what makes them may be dear. Another attempt has another name.
+        staged = f"{self.path}/staged/{uuid.uuid4().hex}"
         rows = rows.select("ord", *VECTORS.names[1:])
+        rows.write.parquet(staged)
+        try:
+            return self._add(self.spark.read.schema(rows.schema).parquet(staged), skip, meta)
+        finally:
+            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(staged), True)
+
+    def _add(self, rows: DataFrame, skip: bool, meta: dict) -> int:
         here = self.tracks().select("key")
         heads = rows.groupBy("key", "ord").agg(F.count("*").cast("int").alias("nvectors"))
         known = heads.join(here, "key", "left_semi")
@@ -256,8 +267,8 @@ class Collection:
         written.write.parquet(f"{uri}/list")
         def put(name: str, lines) -> None:
             out = fs.create(jvm.org.apache.hadoop.fs.Path(home, name), False)
-            for line in lines:
-                out.write(bytearray(line.encode()))
+            for some in batched(lines, 10_000):  # each call goes to the JVM and back
+                out.write(bytearray("".join(some).encode()))
             out.close()
 
         put("meta.json", [json.dumps({k: meta[k] for k in ("power", "times", "norms")})])
@@ -277,10 +288,10 @@ class Collection:
         if meta["power"]:
             made.enable_power()
         plain = uri.removeprefix("file://") if uri.startswith("file://") else uri
-        listed = spark.read.parquet(f"{uri}/list").orderBy("track_id").toLocalIterator()
-        items = [{"key": r.key, "features": f"{plain}/{r.track_id:05d}.features"} | ({"power": f"{plain}/{r.track_id:05d}.power"} if meta["power"] else {}) | ({"times": f"{plain}/{r.track_id:05d}.times"} if meta["times"] else {}) for r in listed]
-        if items:
-            made.insert_files(items)
+        # The list stays a table, and each task reads the files of its tracks.
+        named = lambda ending: F.format_string(f"{plain.replace('%', '%%')}/%05d.{ending}", "track_id") if ending == "features" or meta[ending] else F.lit(None).cast("string")
+        listed = spark.read.parquet(f"{uri}/list").select("track_id", "key", *(named(e).alias(e) for e in ("features", "power", "times")))
+        made.insert_new(files.read_referenced(spark, listed, meta["power"], meta["times"]).withColumnRenamed("track_id", "ord"))
         if meta["norms"]:
             made.enable_norms()
         return made

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,16 +66,15 @@ def sizes(spark: SparkSession, paths: list[str]) -> dict[str, tuple[int, int]]:
 
 def read_referenced(spark: SparkSession, references: DataFrame, has_power: bool, has_times: bool) -> DataFrame:
     """The vectors of registered tracks, read by the tasks that need them: a key's filter goes below, so only its files are opened."""
-    from .reference import load
+    from .reference import load_all
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                yield from load(r.track_id, r.key, r.features, r.power if has_power else None, r.times if has_times else None)
+            yield from load_all(batch.to_pylist(), has_power, has_times)
 
     # A row is a path: tracks are dealt out evenly whatever their files' sizes.
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return references.repartition(n, "track_id").mapInPandas(rows, "track_id int, key string, pos int, vec array<double>, power double, t_start double, t_end double")
+    return references.repartition(n, "track_id").mapInArrow(rows, "track_id int, key string, pos int, vec array<double>, power double, t_start double, t_end double")
 
 
 def read_powers(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -131,29 +131,55 @@ def intervals(points: DataFrame, key: str, order: list[str], time: str) -> DataF
 def write_track_files(vectors: DataFrame, directory: str, has_power: bool, has_times: bool) -> DataFrame:
     """Writes NNNNN.features (and .power, .times) of each track from the executors, and returns what was written: track_id, key, nvectors.
 
-    ``directory`` is in a file system that all executors see; a track is held in memory while it is written.
+    ``directory`` is in a file system that all executors see. A task goes through its tracks in order, part by part, so
+    that neither many tracks nor a long one are held in memory.
     """
 
-    def write(keys, table):
-        import pyarrow as pa
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(directory)
-        table = table.sort_by("pos")
-        track, key = table.column("track_id")[0].as_py(), table.column("key")[0].as_py()
-        data = np.array(table.column("vec").to_pylist(), np.float64)
-        base = f"{root}/{track:05d}"
-
-        def put(name: str, raw: bytes) -> None:
-            with store.open_output_stream(name) as out:
-                out.write(raw)
-
-        put(f"{base}.features", np.array([data.shape[1]], np.uint32).tobytes() + data.tobytes())
-        if has_power:
-            put(f"{base}.power", np.array([1], np.uint32).tobytes() + table.column("power").to_numpy().astype(np.float64).tobytes())
-        if has_times:
-            starts, ends = table.column("t_start").to_pylist(), table.column("t_end").to_pylist()
-            put(f"{base}.times", "".join(f"{t:.16e}\n" for t in [*starts, ends[-1]]).encode())
-        return pa.table({"track_id": pa.array([track], pa.int32()), "key": [key], "nvectors": pa.array([len(data)], pa.int32())})
-
-    return vectors.groupBy("track_id").applyInArrow(write, "track_id int, key string, nvectors int")
+        track, out, last, done = None, {}, None, []
+
+        def close() -> None:
+            if "times" in out:
+                out["times"].write(f"{last:.16e}\n".encode())
+            for f in out.values():
+                f.close()
+
+        def listed() -> pa.RecordBatch:
+            columns = zip(*done, strict=True) if done else ([], [], [])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int32()), strict=True)], names=["track_id", "key", "nvectors"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, vecs = batch.column(0).to_numpy(), batch.column(2)
+            flat, dim = vecs.flatten().to_numpy().astype("<f8"), len(vecs[0])
+            power, start, end = (batch.column(i).to_numpy(zero_copy_only=False).astype("<f8") for i in (3, 4, 5))
+            cut = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)], strict=True):
+                if ids[a] != track:
+                    close()
+                    if len(done) >= 10_000:  # the last of them may go on no more
+                        yield listed()
+                        done = []
+                    track = int(ids[a])
+                    out = {k: store.open_output_stream(f"{root}/{track:05d}.{k}") for k, wanted in (("features", True), ("power", has_power), ("times", has_times)) if wanted}
+                    out["features"].write(np.array([dim], "<u4").tobytes())
+                    if has_power:
+                        out["power"].write(np.array([1], "<u4").tobytes())
+                    done.append([track, batch.column(1)[a].as_py(), 0])
+                done[-1][2] += b - a
+                out["features"].write(flat[a * dim : b * dim].tobytes())
+                if has_power:
+                    out["power"].write(power[a:b].tobytes())
+                if has_times:
+                    out["times"].write("".join([f"{t:.16e}\n" for t in start[a:b].tolist()]).encode())
+                    last = float(end[b - 1])
+        close()
+        yield listed()
+
+    n = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = vectors.select("track_id", "key", "vec", "power", "t_start", "t_end", "pos").repartition(n, "track_id").sortWithinPartitions("track_id", "pos")
+    return rows.mapInArrow(write, "track_id int, key string, nvectors int")

@@ -192,6 +192,36 @@ def test_round_trip_of_all_events(spark):
     assert shown(queries.roundtrip(spark, d)) == shown(A.events(spark, d))
 
 
+def test_round_trip_reads_rows_once(spark, tmp_path, monkeypatch):
+    """What is added is computed once; a dump is restored by tasks that read its files, without a list on the driver."""
+    made_rows = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made_rows.add(batch.num_rows)
+            yield batch
+
+    n = 500
+    rows = spark.createDataFrame([(str(t), i, [t + i / 8, float(i)], math.nan if i == 1 else float(t), float(i), i + 1.0, t) for t in range(n) for i in range(1 + t % 3)], "key string, pos int, vec array<double>, power double, t_start double, t_end double, ord int")
+    c = Collection.create(spark, f"{tmp_path}/c")
+    c.enable_power()
+    c.insert(rows.mapInArrow(seen, rows.schema))
+    assert made_rows.value == rows.count()
+    # The list is more than a batch long, a track longer than one.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        assert c.dump(f"{tmp_path}/out").count() == n
+        monkeypatch.setattr("seqsift.sources.files.read_tracks", lambda *x: pytest.fail("a list of all tracks on the driver"))
+        again = Collection.restore(spark, f"{tmp_path}/out", f"{tmp_path}/again")
+        key = lambda x: sorted((r.track_id, r.key, r.pos, tuple(r.vec), str(r.power), r.t_start, r.t_end) for r in x.vectors().collect())
+        assert key(again) == key(c) and len(key(c)) == rows.count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert not list((tmp_path / "c" / "staged").iterdir()) and again.meta == c.meta
+    empty = Collection.create(spark, f"{tmp_path}/none")
+    empty.dump(f"{tmp_path}/nothing")
+    assert Collection.restore(spark, f"{tmp_path}/nothing", f"{tmp_path}/still").vectors().count() == 0
+
 def test_tracks_by_reference(spark, tmp_path):
     made = Collection.create(spark, f"file://{tmp_path}/kept")
     made.enable_power()
