@@ -225,7 +225,9 @@ def test_fuzzy_passage_and_hot_seeds(spark, monkeypatch):
     monkeypatch.setattr(passages, "SAMPLE", 30)  # so that the passage's seeds count as hot and are salted
     monkeypatch.setattr(passages, "HOT", 4)
     found = passages.shared_passages(docs(spark, rows)).collect()
-    assert {r.doc_id for r in found} | {r.other_id for r in found} == set(range(40)) and len(found) < 40 * 10
+    assert {r.doc_id for r in found} | {r.other_id for r in found} == set(range(40))
+    linked = {tuple(sorted((r.doc_id, r.other_id))) for r in found}  # every two of the different texts, salted or not
+    assert len(linked) == 40 * 39 // 2
 
 
 def test_passages_whose_parts_come_first(spark):
@@ -243,6 +245,26 @@ def test_passages_whose_parts_come_first(spark):
     assert got == {i for i in split if any(j != i and runs(split[i], split[j], 50) for j in split)} == set().union(*whole.values())
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_passages_of_many_documents_lose_no_pair(spark, monkeypatch, hot):
+    """By brute force: every two of many different texts that share 50 words in a row are a row. Copies have one each, a line that many have none."""
+    rng = random.Random(77)
+    whole, other, line = (prose(rng, n) for n in (70, 60, 12))
+    rows = [(i, f"{prose(rng, 20)} {whole} {prose(rng, 20)} {other if i % 3 == 0 else ''}") for i in range(30)]
+    rows += [(100 + i, f"{prose(rng, 30)} {other} {prose(rng, 10)} {line}") for i in range(20)]
+    rows += [(200 + i, f"{prose(rng, 60)} {line} {prose(rng, 60)}") for i in range(30)]
+    rows += [(300 + i, rows[3][1]) for i in range(25)] + [(400, "a few words"), (401, "a few words")]
+    if hot:
+        monkeypatch.setattr(passages, "SAMPLE", 100)
+    found = passages.shared_passages(docs(spark, rows)).collect()
+    got = {tuple(sorted((r.doc_id, r.other_id))) for r in found}
+    split = [(i, t.split()) for i, t in rows if i < 300]
+    want = {(i, j) for i, a in split for j, b in split if i < j and runs(a, b, 50)}
+    assert got == want | {(3, 300 + i) for i in range(25)}
+    n = len(rows[3][1].split())
+    assert {(r.first_word, r.last_word, r.other_first, r.other_last, r.same_words) for r in found if r.doc_id >= 300} == {(0, n - 1, 0, n - 1, n)}
+
+
 def test_passages_with_edits_every_few_words(spark):
     rng = random.Random(9)
     shared = prose(rng, 80).split()
