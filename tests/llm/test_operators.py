@@ -265,6 +265,54 @@ def test_passages_of_many_documents_lose_no_pair(spark, monkeypatch, hot):
     assert {(r.first_word, r.last_word, r.other_first, r.other_last, r.same_words) for r in found if r.doc_id >= 300} == {(0, n - 1, 0, n - 1, n)}
 
 
+def test_common_passages_by_class_lose_no_pair(spark):
+    """By brute force: a class or a row links every two texts that have a passage in common, every two of a class do have one, and rows don't grow with the pairs."""
+    rng = random.Random(41)
+    whole, base, line = prose(rng, 65), prose(rng, 150).split(), prose(rng, 14)
+    rows = [(i, f"{prose(rng, 20)} {whole} {prose(rng, 20)}") for i in range(100)]
+    for i in range(100):
+        w = list(base)
+        for k in rng.sample(range(150), rng.randint(1, 9)):
+            w[k : k + 1] = rng.choice(([], [rng.choice(VOCABULARY)], [rng.choice(VOCABULARY)], [w[k], rng.choice(VOCABULARY)]))
+        rows.append((200 + i, " ".join(w)))
+    rows += [(400 + i, f"{prose(rng, 40)} {line} {prose(rng, 40)}") for i in range(100)]
+    half = " ".join([*whole.split()[:30], *prose(rng, 35).split()])
+    rows += [(600 + i, f"{prose(rng, 20)} {half} {prose(rng, 20)}") for i in range(3)] + [(700, rows[5][1])]
+    found = passages.shared_passages(docs(spark, rows), classes=True).collect()
+    split = {i: t.split() for i, t in rows}
+    classes, got = {}, set()
+    for r in found:
+        if r.class_id is None:
+            got.add(tuple(sorted((r.doc_id, r.other_id))))
+        else:
+            classes.setdefault(r.class_id, {r.other_id: (r.other_first, r.other_last)})[r.doc_id] = (r.first_word, r.last_word)
+    for has in classes.values():
+        for i, j in ((i, j) for i in has for j in has if i < j):
+            got.add((i, j))
+            a, b = (split[d][has[d][0] : has[d][1] + 1] for d in (i, j))
+            assert min(len(a), len(b)) >= 50 and 100 * passages._common([hash(x) for x in a], [hash(x) for x in b]) >= 80 * max(len(a), len(b))
+    want = {(i, j) for i, a in split.items() for j, b in split.items() if i < j < 700 and runs(a, b, 50)} | {(5, 700)}
+    assert want <= got and not any(i // 200 != j // 200 for i, j in got if j < 700)
+    assert got >= {(i, j) for i in range(200, 300) for j in range(i + 1, 300)}
+    assert len(found) < 4 * len(rows)
+
+
+def test_common_lines_are_not_their_own_surroundings():
+    """Common seeds of one line in different texts agree in no value of what surrounds them; those of a long common passage do."""
+    rng = random.Random(43)
+    for n, alike in ((14, False), (60, True)):
+        common = prose(rng, n)
+        h = passages.seeds_of(words.hashes_of(common))[0]
+        values = []
+        for _ in range(20):
+            w = words.hashes_of(f"{prose(rng, 40)} {common} {prose(rng, 40)}")
+            own, at = passages.seeds_of(w)
+            context = passages.context_values(w, *passages.surroundings(at, np.isin(own, h), 50))
+            values.append({x: [passages._value(c, v).item() for v in range(4)] for x, c in zip(own.tolist(), context, strict=True) if x in set(h.tolist())})
+        agree = [any(p == q for p, q in zip(a[x], b[x], strict=True)) for a in values for b in values if a is not b for x in a]
+        assert agree and (np.mean(agree) > 0.9 if alike else np.mean(agree) < 0.02)
+
+
 def test_passages_with_edits_every_few_words(spark):
     rng = random.Random(9)
     shared = prose(rng, 80).split()
