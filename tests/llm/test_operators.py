@@ -299,6 +299,17 @@ def test_common_passages_by_class_lose_no_pair(spark):
     assert len(found) < 8 * len(rows)
 
 
+def test_passages_of_few_in_a_large_corpus_are_listed_by_class(spark):
+    """One document in 3000 has a passage: rows grow with these documents, not with their pairs."""
+    rng = random.Random(61)
+    whole = prose(rng, 65)
+    rows = docs(spark, [(100_000 + i, f"{prose(rng, 20)} {whole} {prose(rng, 20)}") for i in range(20)])
+    short = spark.range(60_000).selectExpr("id as doc_id", "concat_ws(' ', 'a', id, id + 1, 'b', id * 7, 'c') as text")
+    found = passages.shared_passages(rows.select("doc_id", "text").union(short), classes=True).collect()
+    assert {r.doc_id for r in found} | {r.other_id for r in found} == {100_000 + i for i in range(20)}
+    assert len(found) < 80  # of 190 pairs
+
+
 def test_common_lines_are_not_their_own_surroundings():
     """Common seeds of one line in different texts agree in no value of what surrounds them; those of a long common passage do."""
     rng = random.Random(43)
