@@ -360,6 +360,20 @@ def test_recall_of_passages_by_share_of_changed_words(spark, n):
     assert min(recall.values()) >= 0.9
 
 
+def test_recall_among_many_altered_passages(spark):
+    """Of 40 texts each has the passage with six of its 60 words replaced by its own, so every two are just alike enough."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(4000)}" for _ in range(60)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for k in rng.sample(range(60), 6):
+            w[k] = f"x{i}y{k}"
+        rows.append((i, " ".join([*(f"v{rng.randrange(4000)}" for _ in range(20)), *w, *(f"v{rng.randrange(4000)}" for _ in range(20))])))
+    found = {tuple(sorted((r.doc_id, r.other_id))) for r in passages.shared_passages(docs(spark, rows)).collect()}
+    assert len(found) >= 0.95 * 780
+
+
 def test_passages_of_any_ids(spark):
     rng = random.Random(33)
     shared = prose(rng, 60)
