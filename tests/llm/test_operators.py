@@ -829,6 +829,17 @@ def test_items_in_parts_and_rows_without_ids(spark):
     assert Counter(r.doc_id for r in decontam.drop_contaminated(docs(spark, rows), benchmark).collect()) == {7: 1, None: 1, 8: 1}
 
 
+def test_a_spread_out_item_is_found_wherever_it_begins():
+    """28 of 40 words in order, dealt over 1.3 times the item's length, at any distance from where the search begins."""
+    item = decontam.Item.of(1, " ".join(f"w{i}" for i in range(40)), np.ones(decontam.TERMS, np.float32))
+    body = [f"z{i}" for i in range(54)]
+    for i, p in enumerate(np.linspace(0, 53, 28).round().astype(int).tolist()):
+        body[p] = f"w{i}"
+    for before in range(40):
+        text = words.hashes_of(" ".join([*["a"] * before, *body, *["b"] * 60]), words.PUNCTUATION).tolist()
+        assert item.best_place(text, 0, len(text), 0.7, 0.0) is not None, before
+
+
 def test_common_length_by_dynamic_programming():
     rng = random.Random(1)
     for _ in range(100):
