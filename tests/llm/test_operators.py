@@ -840,6 +840,19 @@ def test_a_spread_out_item_is_found_wherever_it_begins():
         assert item.best_place(text, 0, len(text), 0.7, 0.0) is not None, before
 
 
+@pytest.mark.parametrize("size", [40, 160])
+def test_items_whose_halves_are_apart(spark, size):
+    """What a hit needs of an item, half of it at either end of 1.3 times the item's length, with other words between."""
+    rng, rows, items = random.Random(67), [], []
+    for k in range(25):
+        w, half = prose(rng, size).split(), 7 * size // 20
+        items.append((k, " ".join(w)))
+        rows.append((k, f"{prose(rng, rng.randint(20, 90))} {' '.join(w[:half])} {prose(rng, 13 * size // 10 - 2 * half)} {' '.join(w[-half:])} {prose(rng, rng.randint(20, 90))}"))
+    found = {(r.doc_id, r.item_id) for r in decontam.find_contamination(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"), answers=0.0).collect()}
+    print(size, len(found))
+    assert len(found) >= 0.9 * 25 and all(a == b for a, b in found)
+
+
 def test_common_length_by_dynamic_programming():
     rng = random.Random(1)
     for _ in range(100):
