@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -310,6 +311,33 @@ def test_passages_of_few_in_a_large_corpus_are_listed_by_class(spark):
     assert len(found) < 80  # of 190 pairs
 
 
+def test_chains_that_cannot_pass_are_not_aligned(monkeypatch):
+    """Two texts with a line of twelve words and half of their other words in common are not aligned; whatever aligns is never passed over."""
+    rng = random.Random(83)
+    whole, calls = passages.align, []
+    monkeypatch.setattr(passages, "align", lambda *a: calls.append(a) or whole(*a))
+    vocabulary = list(range(1, 60))
+
+    def rows(pairs):
+        a, b = zip(*pairs, strict=True)
+        chain = np.array([(60, 60, 12)], np.int32).tobytes()
+        packed = [pa.array([np.array(x, np.uint32).tobytes() for x in c]) for c in (a, b)]
+        n, zero = len(pairs), pa.array([0] * len(pairs), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array([chain] * n), zero, zero, *packed], names=list("dofxyab"))
+
+    def texts(changed):
+        one = [rng.choice(vocabulary) if rng.random() < 0.5 else rng.randrange(1000, 1 << 31) for _ in range(132)]
+        other = [rng.choice(vocabulary) if rng.random() < 0.5 else rng.randrange(1000, 1 << 31) for _ in range(132)]
+        return one, [x if 60 <= i < 72 or rng.random() >= changed else y for i, (x, y) in enumerate(zip(one, other, strict=True))]
+
+    assert sum(b.num_rows for b in passages._align(iter([rows([texts(1.0) for _ in range(40)])]), 50, 80)) == 0
+    assert not calls
+    mixed = [texts(rng.choice((0.0, 0.1, 0.2, 0.25, 0.3, 0.4, 0.6))) for _ in range(400)]
+    found = {r["doc"] for b in passages._align(iter([rows(mixed)]), 50, 80) for r in b.to_pylist()}
+    expected = {i for i, (a, b) in enumerate(mixed) if whole(a, b, [(60, 60, 12)], 50, 80)}
+    assert found == expected and 100 < len(found) < 390
+
+
 def test_common_lines_are_not_their_own_surroundings():
     """Common seeds of one line in different texts agree in no value of what surrounds them; those of a long common passage do."""
     rng = random.Random(43)
