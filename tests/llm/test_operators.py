@@ -300,6 +300,53 @@ def test_common_passages_by_class_lose_no_pair(spark):
     assert len(found) < 8 * len(rows)
 
 
+def test_a_word_again_and_again_is_a_class(spark):
+    """Texts with a run of one of few words: rows grow with the texts, whether the word has a seed or not and however few have it; whatever is alike enough is linked by brute force."""
+    rng = random.Random(97)
+    again = [w for w in VOCABULARY[:40]]
+    rows, has = [], {}
+    for k, word in enumerate(again):
+        for i in range(9):
+            n = rng.randint(40, 90)
+            has.setdefault(word, set()).add(len(rows))
+            rows.append((len(rows), f"{prose(rng, 30)} {' '.join([word] * n)} {prose(rng, 30)}"))
+        # Too short a run by itself: two texts with the same words beside it are alike enough, those with others aren't.
+        beside = prose(rng, 20)
+        rows += [(len(rows) + i, f"{prose(rng, 30)} {' '.join([word] * 32)} {beside if i < 2 else prose(rng, 20)} {prose(rng, 30)}") for i in range(4)]
+    found = passages.shared_passages(docs(spark, rows), classes=True).collect()
+    assert len(found) <= len(rows) + len(again)
+    classes, got = {}, set()
+    for r in found:
+        a, b = rows[r.doc_id][1].split()[r.first_word : r.last_word + 1], rows[r.other_id][1].split()[r.other_first : r.other_last + 1]
+        assert min(len(a), len(b)) >= 50 and 100 * r.same_words >= 80 * max(len(a), len(b))
+        assert r.same_words <= passages._common([hash(x) for x in a], [hash(x) for x in b])
+        if r.class_id is None:
+            got.add(tuple(sorted((r.doc_id, r.other_id))))
+        else:
+            classes.setdefault(r.class_id, {r.other_id}).add(r.doc_id)
+    assert sorted(map(sorted, classes.values())) == sorted(map(sorted, has.values()))
+    beside = {(13 * k + 9, 13 * k + 10) for k in range(len(again))}
+    assert len(got & beside) >= 0.95 * len(beside) and all(i // 13 == j // 13 for i, j in got)
+
+
+def test_runs_agree_in_words_on_the_same_side():
+    """What runs too short for a passage have beside them is told apart for few and for many other words; long runs always agree."""
+    def context(before, n, after):
+        w = words.hashes_of(" ".join([*before, *["again"] * n, *after]))
+        return np.array([passages.run_context(w, len(before), len(before) + n, 40)], np.uint64).view(np.int64)
+
+    def agree(x, y):
+        bits = [passages.run_bits(c, np.ones(1, bool)) for c in (x, y)]
+        return bool(passages._agree(x, y, *bits)[0])
+
+    many = [f"m{i}" for i in range(20)]
+    assert agree(context(["a"] * 30, 36, ["b"] * 30), context(["c"] * 30, 37, ["b"] * 30))
+    assert not agree(context(["a"] * 30, 36, ["b"] * 30), context(["b"] * 30, 37, ["a"] * 30))
+    assert not any(agree(context([f"a{i}"] * 30, 36, ["b"] * 30), context(["c"] * 30, 37, [f"d{i}"] * 30)) for i in range(200))
+    assert agree(context(many, 36, ["b"] * 30), context(["m7"] * 9, 39, ["d"] * 30)) and agree(context(many, 36, []), context(["z", *many[3:]], 39, ["d"]))
+    assert agree(context(["a"], 40, ["b"]), context(["c"], 41, ["d"])) and not agree(context(["a"], 40, ["b"]), context(["c"], 39, ["d"]))
+
+
 def test_passages_of_few_in_a_large_corpus_are_listed_by_class(spark):
     """One document in 3000 has a passage: rows grow with these documents, not with their pairs."""
     rng = random.Random(61)
