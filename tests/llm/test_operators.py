@@ -915,6 +915,32 @@ def test_a_spread_out_item_is_found_wherever_it_begins():
         assert item.best_place(text, 0, len(text), 0.7, 0.0) is not None, before
 
 
+def test_places_without_enough_words_are_not_searched():
+    """Windows around which no part as wide as a hit has the words it needs are passed over; wherever one is found, none are."""
+    rng = random.Random(101)
+    items = [decontam.Item.of(k, prose(rng, n), np.ones(decontam.TERMS, np.float32)) for k, n in enumerate((5, 20, 40, 100, 400, 700))]
+    index = decontam.Index(items, np.zeros((1, 1), np.float32), np.zeros((len(items), 1), np.float32), np.ones(len(items), np.float32))
+    texts = []
+    for item in items:
+        for kept in (0.2, 0.5, 0.65, 0.7, 0.75, 1.0):
+            w = [x if rng.random() < kept else rng.getrandbits(64) for x in item.words]
+            texts += [[rng.getrandbits(64) for _ in range(rng.randrange(90))] + w + [rng.getrandbits(64) for _ in range(rng.randrange(90))]]
+    words_, of = np.array(sum(texts, []), np.uint64), np.cumsum([0, *map(len, texts)])
+    need, found, passed_over = np.array([x.need(0.7) for x in items]), 0, 0
+    for q, item in enumerate(items):
+        size = decontam.WINDOWS[item.scale] * decontam.BLOCK
+        start = np.concatenate([np.arange(a, b, decontam.BLOCK) for a, b in zip(of[:-1], of[1:], strict=True)])
+        text = np.searchsorted(of, start, "right") - 1
+        ok = index.enough(np.arange(len(start)), np.full(len(start), q), start, of[text], of[text + 1], (words_ >> decontam.BUCKET_SHIFT).astype(np.int32), size, need)
+        for i, d in enumerate(text.tolist()):
+            at = int(start[i] - of[d])
+            place = item.best_place(texts[d], max(0, at - item.reach), min(len(texts[d]), at + max(len(item.words), size) + item.reach), 0.7, 0.0)
+            assert ok[i] or place is None
+            found += place is not None
+            passed_over += not ok[i]
+    assert found > 100 and passed_over > 1000
+
+
 @pytest.mark.parametrize("size", [40, 160])
 def test_items_whose_halves_are_apart(spark, size):
     """What a hit needs of an item, half of it at either end of 1.3 times the item's length, with other words between."""
